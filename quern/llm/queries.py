@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import encoding
+from quern.llm import encoding, lookalike
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,5 +15,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(table(spark, d, "documents"))
+
+
+def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_texts(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p9_found, p9_canonical)}
 ORACLE: dict[str, str] = {}
