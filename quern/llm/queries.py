@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import encoding, lookalike
+from quern.llm import defects, encoding, lookalike
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _pair_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables of pairs, each under its own names for question and answer."""
+    tuned = table(spark, d, "llm_fine_tune").select("pair_id", F.col("instruction").alias("question"), F.col("response").alias("answer"))
+    prompts = table(spark, d, "prompt_embeddings").select("pair_id", F.col("prompt").alias("question"), F.col("response").alias("answer"))
+    return defects.pair_defects(tuned.unionByName(prompts))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pair_defects(spark, d).select("pair_id", F.col("defects")[0].alias("defect"))
+
+
+def p3_all_defects(spark: SparkSession, d: str) -> DataFrame:
+    return _pair_defects(spark, d).select("pair_id", F.explode("defects").alias("defect"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
@@ -24,5 +40,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p7_ids, p9_found, p9_canonical)}
 ORACLE: dict[str, str] = {}
