@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.plans.scratch import cut
+
 # Letters of other scripts that are drawn like a Latin one.
 CYRILLIC = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
@@ -263,7 +265,8 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     and only those pairs are widened to rows, so the work follows the size of the result even where
     one text holds a third of all rows. Repeated rows of one key count once.
     """
-    rows = canonical_texts(documents, key, text, digests=True).distinct()
+    # 48 bytes a row, written once to the shared folder: the texts are read and spelled a single time
+    rows = cut(canonical_texts(documents, key, text, digests=True).distinct())
     spellings = rows.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"))
     varied = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("look")
     kept = rows.join(varied, "look", "left_semi")
