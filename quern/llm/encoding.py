@@ -12,11 +12,11 @@ import base64
 import functools
 import heapq
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,24 +152,27 @@ def build_lexicon(spark: SparkSession, documents: DataFrame, ranks_path: str, te
     return os.path.basename(target)
 
 
-def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, lengths: bool = False) -> DataFrame:
+def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, lengths: bool = False, keep: Sequence[Column] = ()) -> DataFrame:
     """`key` and `ids` (array of int) of every row, or `key` and `n_tokens` with `lengths`.
 
-    No special tokens; their strings in a text are ordinary text. A null or empty text gives an
+    `keep`: further columns (expressions on `documents`) that come along. No special tokens; their strings in a text are ordinary text. A null or empty text gives an
     empty list. Repeated rows are encoded each; other columns are not read. The result equals the
     vocabulary's own merges whatever the lexicon holds.
     """
     spark = documents.sparkSession
     ranks_path = f"{folder}/{vocabulary}.tiktoken"
     lexicon = build_lexicon(spark, documents, ranks_path, text)
-    kind = documents.schema[key].dataType
-    result = T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.IntegerType()) if lengths else T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    told = "n_tokens" if lengths else "ids"
+    read = documents.select(key, *keep, F.col(text).alias("__text"))
+    names = [*read.columns[:-1], told]
+    result = T.StructType([*read.schema.fields[:-1], T.StructField(told, T.IntegerType() if lengths else T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(ranks_path, lexicon)
         for b in batches:
-            ids = [enc.encode(t) for t in b.column(1).to_pylist()]
+            *kept, texts = b.columns
+            ids = [enc.encode(t) for t in texts.to_pylist()]
             col = pa.array([len(x) for x in ids], pa.int32()) if lengths else pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), col], [key, "n_tokens" if lengths else "ids"])
+            yield pa.RecordBatch.from_arrays([*kept, col], names)
 
-    return documents.select(key, text).mapInArrow(encode, result)
+    return read.mapInArrow(encode, result)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import defects, encoding, lookalike
+from quern.llm import defects, encoding, lookalike, mixing, neighbours
+from quern.plans.scratch import cut
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,11 +28,31 @@ def p3_all_defects(spark: SparkSession, d: str) -> DataFrame:
     return _pair_defects(spark, d).select("pair_id", F.explode("defects").alias("defect"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, d, "prompt_embeddings"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    marks = [F.col("source"), F.col("lang"), mixing.topic_of(F.col("repo")).alias("topic")]
+    # counted once and kept in the shared folder: a few values a document
+    sized = cut(encoding.encode_documents(docs, lengths=True, keep=marks))
+    return mixing.mix(sized, table(spark, d, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).select("doc_id", "source", "n_tokens", "weight", "copies")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, d), table(spark, d, "source_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, d, "documents"))
 
@@ -40,5 +61,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p7_ids, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_canonical)}
 ORACLE: dict[str, str] = {}
