@@ -175,7 +175,8 @@ def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embeddin
     w = Window.partitionBy("c1", "c2").orderBy(key)
     low = cut(rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select(key, "c1", "c2", "r", F.when(F.col("r") == 1, F.col("vec")).alias("vec")))
     packed = _packed(low.where(F.col("r") == 1).select(F.col(key).alias("point"), "vec"))
-    near = point_neighbours(packed, length, k, probes, beam)
+    # the search's result (k numbers a point) is kept in the shared folder: measuring and joining it must not search again
+    near = cut(point_neighbours(packed, length, k, probes, beam))
     # the smallest members of each class, under the number of its point (the smallest of all)
     members = low.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(key)).alias("ids")).withColumn("point", F.col("ids")[0])
     flat = near.select("point", F.inline("near"))
