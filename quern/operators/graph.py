@@ -79,15 +79,25 @@ def tree_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "h
     return j.select(F.when(F.col("__r").isNotNull(), F.col("__b")).otherwise(F.col("__a")).alias(key), status.alias("status")).where(F.col("status").isNotNull())
 
 
-def merge_classes(lca: DataFrame, base: DataFrame, merge: DataFrame) -> DataFrame:
-    """path and decision of a three-way merge: keep, take, delete, or conflict.
+def common_ancestors(reach: DataFrame, commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`common_ancestor` of many pairs at once: base, head, commit_id, depth. `pairs` holds base and head, `reach` the ancestors of all of them."""
+    a = pairs.join(reach.select(F.col("head").alias("base"), "commit_id", "depth"), "base")
+    both = a.join(reach.select("head", "commit_id"), ["head", "commit_id"], "left_semi")
+    when = commits.groupBy("commit_id").agg(F.max("committed_at").alias("committed_at"))
+    w = Window.partitionBy("base", "head").orderBy("depth", F.desc_nulls_last("committed_at"), "commit_id")
+    return both.join(when, "commit_id", "left").withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).select("base", "head", "commit_id", "depth")
+
+
+def merge_classes(lca: DataFrame, base: DataFrame, merge: DataFrame, group: str | None = None) -> DataFrame:
+    """path and decision of a three-way merge: keep, take, delete, or conflict; with `group`, of many merges at once.
 
-    Inputs are manifests (path, hash) of the common ancestor, the base and the merged branch. What
+    Inputs are manifests (`group`, path, hash) of the common ancestor, the base and the merged branch. What
     only the merged branch changed is taken (or deleted), what only the base changed stays, equal
     changes stay, different changes of one path are a conflict.
     """
-    side = lambda df, n: df.groupBy("path").agg(F.max("hash").alias(n), F.lit(True).alias(f"in_{n}"))
-    j = side(lca, "o").join(side(base, "b"), "path", "full_outer").join(side(merge, "m"), "path", "full_outer")
+    on = [group, "path"] if group else ["path"]
+    side = lambda df, n: df.groupBy(*on).agg(F.max("hash").alias(n), F.lit(True).alias(f"in_{n}"))
+    j = side(lca, "o").join(side(base, "b"), on, "full_outer").join(side(merge, "m"), on, "full_outer")
     has = {n: F.coalesce(F.col(f"in_{n}"), F.lit(False)) for n in "obm"}
 
     def same(x: str, y: str) -> Column:
@@ -99,7 +109,7 @@ def merge_classes(lca: DataFrame, base: DataFrame, merge: DataFrame) -> DataFram
         .when(same("o", "m"), F.when(has["b"], "keep"))
         .otherwise("conflict")
     )
-    return j.select("path", decision.alias("decision")).where(F.col("decision").isNotNull())
+    return j.select(*on, decision.alias("decision")).where(F.col("decision").isNotNull())
 
 
 def is_fast_forward(reach: DataFrame, base: str, head: str) -> DataFrame:

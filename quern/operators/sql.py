@@ -29,17 +29,6 @@ class QueryError(ValueError):
     """SQL that is no plain query over the given tables."""
 
 
-def _leaves(plan) -> list[str]:
-    """Class names of the leaves of an analysed plan, subqueries included."""
-    out = []
-    kids = plan.children()
-    if kids.isEmpty():
-        out.append(plan.getClass().getSimpleName())
-    for i in range(kids.size()):
-        out += _leaves(kids.apply(i))
-    return out
-
-
 def query(df: DataFrame, text: str, tables: Mapping[str, DataFrame] | None = None, args: Mapping | None = None) -> DataFrame:
     """The result of a query over view `df` and the views of `tables`.
 

@@ -54,14 +54,23 @@ def read_event_stream(spark: SparkSession, folder: str, schema: T.StructType, fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark; times without a zone read in the session zone there, as watermarks need an instant."""
+    if not events.isStreaming:
+        return events
+    if isinstance(events.schema[time].dataType, T.TimestampNTZType):
+        events = events.withColumn(time, F.col(time).cast("timestamp"))
+    return events.withWatermark(time, late)
+
+
 def windowed_counts(events: DataFrame, time: str, width: str, group: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """window_start, `group`, n: events per window; on a stream, events later than `late` are dropped and old windows closed."""
-    body = events.withWatermark(time, late) if events.isStreaming else events
+    body = _timed(events, time, late)
     win = F.window(time, width, slide) if slide else F.window(time, width)
     return body.groupBy(win.alias("w"), group).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), group, "n")
 
 
 def sessions(events: DataFrame, time: str, user: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """`user`, session_start, n: runs of events of a user with no longer pause than `gap`."""
-    body = events.withWatermark(time, late) if events.isStreaming else events
+    body = _timed(events, time, late)
     return body.groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("session_start"), "n")
