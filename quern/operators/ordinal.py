@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.scratch import cut
+
 ORDINAL = "_row_num"
 
 
@@ -15,17 +17,25 @@ def with_ordinal(df: DataFrame, name: str = ORDINAL, start: int = 0, order: Sequ
 
     With `order` the rows are range-partitioned and sorted first. Each partition numbers its own
     rows; one small job counts the rows of every partition, and their running sums (one number per
-    partition) are added. An empty table gives an empty table.
+    partition) are added. Both must see the same partitions, so a table that comes out of a sort or
+    an exchange is kept in the shared folder first; a plain scan is read where it is. An empty
+    table gives an empty table.
     """
     body = df.orderBy(*order) if order else df
     at, num = f"__{name}_part", f"__{name}_in"
-    tagged = body.withColumns({at: F.spark_partition_id(), num: F.monotonically_increasing_id()})
+    tagged = body.withColumn(num, F.monotonically_increasing_id())
+    plan = body._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Sort" in plan:
+        tagged = cut(tagged)
+    # the id counts up within a partition from partition << 33
+    tagged = tagged.withColumn(at, F.shiftright(num, 33).cast("int"))
     counts = sorted((r[0], r[1]) for r in tagged.groupBy(at).agg(F.count(F.lit(1))).collect())
     offsets, total = {}, start
     for part, n in counts:
         offsets[part] = total
         total += n
-    # the id counts up within a partition from partition << 33
+    if not offsets:
+        return tagged.withColumn(name, F.lit(start).cast("long")).drop(at, num)
+    offset = F.element_at(F.map_from_arrays(F.lit(list(offsets)), F.lit(list(offsets.values()))), F.col(at))
     within = F.col(num) - F.shiftleft(F.col(at).cast("long"), 33)
-    offset = F.try_element_at(F.map_from_arrays(F.lit(list(offsets) or [0]), F.lit(list(offsets.values()) or [0])), F.col(at)) if offsets else F.lit(start)
     return tagged.withColumn(name, (within + offset).cast("long")).drop(at, num)
