@@ -41,7 +41,7 @@ class Options:
 
     def applied(self) -> list[tuple[str, object]]:
         """The options that are set, in order."""
-        return [(f.name, v) for f in fields(self) if (v := getattr(self, f.name)) not in (None, False, [], "")]
+        return [(f.name, v) for f in fields(self) if (v := getattr(self, f.name)) is not None and v is not False and v != [] and v != ""]
 
     def any_transform(self) -> bool:
         return any(name not in ("output", "seed", "add_col_at") for name, _ in self.applied())

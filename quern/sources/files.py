@@ -45,8 +45,11 @@ def _head(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
     if fs.getFileStatus(p).isDirectory():
         files = sorted(str(s.getPath()) for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", ".")))
         return _head(spark, files[0], n) if files else b""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n)).head(1)
-    return bytes(rows[0][0]) if rows and rows[0][0] is not None else b""
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def sniff(sample: str, delimiter: str | None = None, quote: str | None = None) -> tuple[str, str]:
@@ -68,14 +71,18 @@ def sniff(sample: str, delimiter: str | None = None, quote: str | None = None) -
     return delimiter, quote or '"'
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote: str | None = None, schema: T.StructType | None = None, rows: int | None = None) -> DataFrame:
-    """Delimited text with a header. The schema is inferred on the first rows and then fixed: long rows are cut, short ones filled with null, wrong values null."""
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote: str | None = None, schema: T.StructType | None = None, rows: int | None = None, splittable: bool = False) -> DataFrame:
+    """Delimited text with a header. The schema is inferred on the first rows and then fixed: long rows are cut, short ones filled with null, wrong values null.
+
+    A quoted cell may hold line breaks, so a file is read by one task; `splittable` promises that
+    none does, and a large file is then split among many.
+    """
     text = _head(spark, path).decode("utf-8", "replace")
     d, q = sniff(text, delimiter, quote)
     # a quote that never closes would swallow the rest of the file: read such files without quoting
     lines = [x for x in text.splitlines()[:-1] if x]
     loose = sum(x.count(q) % 2 for x in lines) > 0 and not any(f"{d}{q}" in x or x.startswith(q) for x in lines)
-    base = {"header": True, "sep": d, "quote": "" if loose else q, "escape": q if not loose else "\\", "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": not loose}
+    base = {"header": True, "sep": d, "quote": "" if loose else q, "escape": q if not loose else "\\", "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": not loose and not splittable}
     if schema is None:
         head = spark.read.options(**base).csv(path).limit(INFER_ROWS)
         schema = _infer(head)
@@ -217,7 +224,7 @@ def write_df(df: DataFrame, path: str, single: bool = True) -> str:
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
     body = df.coalesce(1) if single else df
     if ext in ("csv", "data", "tsv"):
-        _flat(body).write.options(header=True, sep="\t" if ext == "tsv" else ",", quote='"', escape='"', emptyValue="").csv(tmp)
+        _flat(body).write.options(header=True, sep="\t" if ext == "tsv" else ",", quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(tmp)
     elif ext == "parquet":
         body.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields]).write.parquet(tmp)
     elif ext in ("json", "jsonl", "ndjson"):
