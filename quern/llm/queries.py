@@ -15,8 +15,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _pair_defects(spark: SparkSession, d: str) -> DataFrame:
     """Both tables of pairs, each under its own names for question and answer."""
-    tuned = table(spark, d, "llm_fine_tune").select("pair_id", F.col("instruction").alias("question"), F.col("response").alias("answer"))
-    prompts = table(spark, d, "prompt_embeddings").select("pair_id", F.col("prompt").alias("question"), F.col("response").alias("answer"))
+    tuned = table(spark, d, "llm_fine_tune").select("pair_id", F.col("instruction").alias("question"), F.col("response").alias("answer"), "context")
+    prompts = table(spark, d, "prompt_embeddings").select("pair_id", F.col("prompt").alias("question"), F.col("response").alias("answer"), F.lit(None).cast("string").alias("context"))
     return defects.pair_defects(tuned.unionByName(prompts))
 
 
