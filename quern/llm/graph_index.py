@@ -2,8 +2,9 @@
 
 Points are inserted in batches of growing size. Each batch is searched greedily on the graph so
 far; the candidates met are pruned with a relaxed distance rule that keeps close but diverse
-neighbours, and the edges are also added backwards, pruning any list that grows too long. All steps
-work on whole batches of points at once (numpy), a beam search moves its batch in lockstep.
+neighbours, and the edges are also added backwards, pruning any list that grows too long. Points that hardly any
+edge leads to get edges from their nearest in spare places, and searches enter at several points
+far apart, so sparse regions stay reachable. All steps work on whole batches of points at once (numpy), a beam search moves its batch in lockstep.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Neighbours per point, beam width while building, relaxation of the pruning distance.
-DEGREE, BUILD_BEAM, ALPHA = 24, 40, 1.2
+DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.1
+#: Points that a search enters at, spare places per point, and edges that should lead to each point.
+ENTRIES, SPARE, LEAD = 16, 8, 3
 #: Points of a beam that are expanded in one step.
 STEP = 4
 #: Marks of seen points that one chunk of queries may take, in bytes.
@@ -27,13 +30,27 @@ class ShardGraph:
         self.vectors = np.vstack([vectors.astype(np.float32, copy=False), np.zeros((1, self.dim), np.float32)])
         self.degree, self.alpha = degree, alpha
         self.edges = np.full((self.n + 1, degree), self.none, np.int32)
-        middle = vectors.mean(0)
-        self.entry = int(np.argmax(vectors @ middle)) if self.n else self.none
-        self._build(beam, np.random.default_rng(seed))
+        self.entries = self._far_apart(ENTRIES) if self.n else np.empty(0, np.int32)
+        if self.n:
+            self._build(beam, np.random.default_rng(seed))
+            self._lead_to_all()
+
+    def _far_apart(self, count: int) -> np.ndarray:
+        """The point nearest to the middle, then each time the point farthest from those taken."""
+        v = self.vectors[: self.n]
+        picked = [int(np.argmax(v @ v.mean(0)))]
+        near = v @ v[picked[0]]
+        while len(picked) < min(count, self.n):
+            nxt = int(np.argmin(near))
+            if near[nxt] >= 1.0 - 1e-6:
+                break
+            picked.append(nxt)
+            near = np.maximum(near, v @ v[nxt])
+        return np.asarray(picked, np.int32)
 
     def _build(self, beam: int, rng: np.random.Generator) -> None:
         order = rng.permutation(self.n).astype(np.int32)
-        order = order[order != self.entry]
+        order = order[~np.isin(order, self.entries)]
         at, most = 0, max(32, self.n // 16)
         while at < len(order):
             size = min(most, max(1, at), len(order) - at)
@@ -112,18 +129,41 @@ class ShardGraph:
             reach = min(ids.shape[1], 2 * self.degree)
             self.edges[points[full]] = self._prune(ids[full, :reach], sims[full, :reach])
 
-    def beam(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `width` most similar points met from the entry for each query, most similar first (padded with `none`)."""
+    def _lead_to_all(self) -> None:
+        """Spare places are given to points that fewer than LEAD edges lead to: their nearest point to them."""
+        self.edges = np.hstack([self.edges, np.full((self.n + 1, SPARE), self.none, np.int32)])
+        lead = np.bincount(self.edges[: self.n].ravel(), minlength=self.n + 1)[: self.n]
+        used = np.zeros(self.n, np.int64)
+        for p in np.flatnonzero(lead < LEAD):
+            for q in self.edges[p, : self.degree]:
+                if lead[p] >= LEAD:
+                    break
+                if q != self.none and used[q] < SPARE and p not in self.edges[q]:
+                    self.edges[q, self.degree + used[q]] = p
+                    used[q] += 1
+                    lead[p] += 1
+
+    def beam(self, queries: np.ndarray, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The `width` most similar points met from the entries for each query, most similar first (padded with `none`).
+
+        `own` is the number of a query that is a point itself (else `none`): it is an entry too.
+        """
         n_q = len(queries)
         ids = np.full((n_q, width), self.none, np.int32)
         sims = np.full((n_q, width), -np.inf, np.float32)
         done = np.zeros((n_q, width), bool)
         if not self.n or not n_q:
             return ids, sims
-        ids[:, 0] = self.entry
-        sims[:, 0] = queries @ self.vectors[self.entry]
+        start = np.broadcast_to(self.entries[None, :], (n_q, len(self.entries)))
+        if own is not None:
+            start = np.hstack([np.where(np.isin(own, self.entries), self.none, own)[:, None].astype(np.int32), start])
+        s = np.einsum("ij,ikj->ik", queries, self.vectors[start])
+        s[start == self.none] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :width]
+        k = order.shape[1]
+        ids[:, :k], sims[:, :k] = np.take_along_axis(start, order, 1), np.take_along_axis(s, order, 1)
         seen = np.zeros((n_q, self.n + 1), bool)
-        seen[:, self.entry] = True
+        seen[np.arange(n_q)[:, None], start] = True
         seen[:, self.none] = True
         while True:
             open_ = ~done & (ids != self.none)
@@ -156,8 +196,8 @@ class ShardGraph:
             sims[rows] = np.take_along_axis(all_sims, best, 1)
             done[rows] = np.take_along_axis(all_done, best, 1)
 
-    def search(self, queries: np.ndarray, width: int) -> np.ndarray:
+    def search(self, queries: np.ndarray, width: int, own: np.ndarray | None = None) -> np.ndarray:
         """Point numbers of `beam`, chunked so that the marks of seen points stay within SEEN_BYTES."""
         chunk = int(max(1, min(1024, SEEN_BYTES // (self.n + 1))))
-        parts = [self.beam(queries[i : i + chunk], width)[0] for i in range(0, len(queries), chunk)]
+        parts = [self.beam(queries[i : i + chunk], width, None if own is None else own[i : i + chunk])[0] for i in range(0, len(queries), chunk)]
         return np.vstack(parts) if parts else np.empty((0, width), np.int32)

@@ -26,7 +26,7 @@ SHARD_POINTS, MOST_SHARDS = 1000, 4096
 #: Sample per shard on which centres are trained (at most SHARD_SAMPLE * MOST_SHARDS points reach the driver).
 SHARD_SAMPLE, TRAIN_ROUNDS = 32, 8
 #: Shards searched per point, and width of the beam.
-PROBES, BEAM = 8, 40
+PROBES, BEAM = 16, 64
 #: Similarities that agree in so many decimals are equal.
 DECIMALS = 12
 
@@ -116,7 +116,9 @@ def _searcher(length: int, k: int, beam: int):
         if len(base):
             graph = ShardGraph(unit[base].astype(np.float32))
             width = min(max(beam, 2 * k), len(base))
-            found = graph.search(unit.astype(np.float32), width)
+            own = np.full(len(point), graph.none, np.int64)
+            own[base] = np.arange(len(base))
+            found = graph.search(unit.astype(np.float32), width, own)
             norms = np.linalg.norm(raw, axis=1)
             at = np.append(base, base[0])[found]
             empty = (found == graph.none) | (point[at] == point[:, None])
