@@ -45,7 +45,8 @@ def test_media_facts(spark, tmp_path):
 
 
 def test_content_chunks_survive_an_insertion(spark):
-    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(40_000))
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(40_000))
     df = spark.createDataFrame([(1, text), (2, text[:500] + "INSERTED" + text[500:]), (3, None), (4, "")], "k long, t string")
     out = media.content_chunks(df, "k", "t")
     sums = {r["k"]: r["b"] for r in out.groupBy("k").agg(F.sum("bytes").alias("b")).collect()}
