@@ -16,7 +16,7 @@ DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.1
 #: Points that a search enters at, spare places per point, and edges that should lead to each point.
 ENTRIES, SPARE, LEAD = 16, 8, 3
 #: Points of a beam that are expanded in one step.
-STEP = 4
+STEP = 8
 #: Marks of seen points that one chunk of queries may take, in bytes.
 SEEN_BYTES = 32 << 20
 
@@ -165,36 +165,38 @@ class ShardGraph:
         seen = np.zeros((n_q, self.n + 1), bool)
         seen[np.arange(n_q)[:, None], start] = True
         seen[:, self.none] = True
+        marks, stride = seen.ravel(), self.n + 1
         while True:
             open_ = ~done & (ids != self.none)
-            rows = np.flatnonzero(open_.any(1))
-            if not len(rows):
+            row, col = np.nonzero(open_ & (np.cumsum(open_, 1) <= STEP))
+            if not len(row):
                 return ids, sims
-            o = open_[rows]
-            rank = np.cumsum(o, 1)
-            r, c = np.nonzero(o & (rank <= STEP))
-            nodes = np.full((len(rows), STEP), self.none, np.int32)
-            nodes[r, rank[r, c] - 1] = ids[rows[r], c]
-            done[rows[r], c] = True
-            near = self.edges[nodes].reshape(len(rows), -1)
-            near.sort(axis=1)
-            fresh = ~seen[rows[:, None], near]
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            seen[rows[:, None], near] = True
-            fr, fc = np.nonzero(fresh)
-            found = near[fr, fc]
-            met = np.full(near.shape, -np.inf, np.float32)
-            met[fr, fc] = np.einsum("ij,ij->i", queries[rows[fr]], self.vectors[found])
-            near[~fresh] = self.none
-            all_ids = np.hstack([ids[rows], near])
-            all_sims = np.hstack([sims[rows], met])
-            all_done = np.hstack([done[rows], np.zeros(near.shape, bool)])
-            best = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            part = np.take_along_axis(all_sims, best, 1)
-            best = np.take_along_axis(best, np.argsort(-part, axis=1, kind="stable"), 1)
-            ids[rows] = np.take_along_axis(all_ids, best, 1)
-            sims[rows] = np.take_along_axis(all_sims, best, 1)
-            done[rows] = np.take_along_axis(all_done, best, 1)
+            done[row, col] = True
+            # query and point in one number: fresh ones are those not marked, each once
+            reached = ((row * stride)[:, None] + self.edges[ids[row, col]]).ravel()
+            reached = reached[~marks[reached]]
+            reached.sort()
+            reached = reached[np.flatnonzero(np.diff(reached, prepend=-1))]
+            marks[reached] = True
+            row, found = np.divmod(reached, stride)
+            met = np.einsum("ij,ij->i", queries[row], self.vectors[found])
+            # what is no better than the last of a full beam cannot enter it
+            better = met > sims[row, -1]
+            row, found, met = row[better], found[better], met[better]
+            if not len(row):
+                continue
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            at, count = row[first], np.diff(first, append=len(row))
+            place, line = np.arange(len(row)) - np.repeat(first, count), np.repeat(np.arange(len(at)), count)
+            new_ids = np.full((len(at), int(count.max())), self.none, np.int32)
+            new_sims = np.full(new_ids.shape, -np.inf, np.float32)
+            new_ids[line, place], new_sims[line, place] = found, met
+            all_ids = np.hstack([ids[at], new_ids])
+            all_sims = np.hstack([sims[at], new_sims])
+            all_done = np.hstack([done[at], np.zeros(new_ids.shape, bool)])
+            best = np.argsort(-all_sims, axis=1)[:, :width]
+            best += (np.arange(len(at)) * all_ids.shape[1])[:, None]
+            ids[at], sims[at], done[at] = all_ids.ravel()[best], all_sims.ravel()[best], all_done.ravel()[best]
 
     def search(self, queries: np.ndarray, width: int, own: np.ndarray | None = None) -> np.ndarray:
         """Point numbers of `beam`, chunked so that the marks of seen points stay within SEEN_BYTES."""

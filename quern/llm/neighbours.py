@@ -27,6 +27,8 @@ SHARD_POINTS, MOST_SHARDS = 1000, 4096
 SHARD_SAMPLE, TRAIN_ROUNDS = 32, 8
 #: Shards searched per point, and width of the beam.
 PROBES, BEAM = 16, 64
+#: Of each beam, so many times k candidates are ranked in double precision.
+RANKED = 5
 #: Similarities that agree in so many decimals are equal.
 DECIMALS = 12
 
@@ -118,7 +120,8 @@ def _searcher(length: int, k: int, beam: int):
             width = min(max(beam, 2 * k), len(base))
             own = np.full(len(point), graph.none, np.int64)
             own[base] = np.arange(len(base))
-            found = graph.search(unit.astype(np.float32), width, own)
+            # the closest of the beam are ranked again in double precision
+            found = graph.search(unit.astype(np.float32), width, own)[:, : RANKED * k]
             norms = np.linalg.norm(raw, axis=1)
             at = np.append(base, base[0])[found]
             empty = (found == graph.none) | (point[at] == point[:, None])
