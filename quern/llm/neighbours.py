@@ -106,35 +106,50 @@ def _routes(points: DataFrame, centres: np.ndarray, length: int, probes: int) ->
     return points.select("point", "vec").mapInArrow(run, "shard int, point long, vec binary, home boolean")
 
 
+def _floats(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
+    """float32 view of a binary column without nulls, straight on its buffer."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    parts = whole.chunks if isinstance(whole, pa.ChunkedArray) else [whole]
+    out = [np.frombuffer(p.buffers()[2], dtype="<f4")[p.offset * length : (p.offset + len(p)) * length].reshape(-1, length) for p in parts if len(p)]
+    return out[0] if len(out) == 1 else np.vstack(out) if out else np.empty((0, length), "<f4")
+
+
+#: Queries of a shard that are searched and ranked at a time.
+SEARCH_ROWS = 4096
+
+
 def _searcher(length: int, k: int, beam: int):
     def search(table: pa.Table) -> pa.Table:
-        """All queries of one shard against its graph: point, other, sim."""
-        blobs, home = table["vec"].to_pylist(), np.asarray(table["home"].to_pylist(), dtype=bool)
-        point = np.asarray(table["point"].to_pylist(), dtype=np.int64)
-        raw, unit = _unit(blobs, length)
+        """All queries of one shard against its graph: point, other, sim. Queries are taken slice by slice, so a shard that many look into needs no more memory."""
+        vectors, home, point = _floats(table["vec"], length), table["home"].to_numpy(), table["point"].to_numpy()
         base = np.flatnonzero(home)
         base = base[np.argsort(point[base])]
         out_q, out_o, out_s = [], [], []
         if len(base):
-            graph = ShardGraph(unit[base].astype(np.float32))
-            width = min(max(beam, 2 * k), len(base))
+            raw = vectors[base].astype(np.float64)
+            norms = np.linalg.norm(raw, axis=1)
+            graph = ShardGraph((raw / norms[:, None]).astype(np.float32))
+            names = point[base]
             own = np.full(len(point), graph.none, np.int64)
             own[base] = np.arange(len(base))
-            # the closest of the beam are ranked again in double precision
-            found = graph.search(unit.astype(np.float32), width, own)[:, : RANKED * k]
-            norms = np.linalg.norm(raw, axis=1)
-            at = np.append(base, base[0])[found]
-            empty = (found == graph.none) | (point[at] == point[:, None])
-            for i in range(0, len(at), 4096):
-                rows = slice(i, i + 4096)
-                sims = np.einsum("ij,ikj->ik", raw[rows], raw[at[rows]]) / (norms[rows, None] * norms[at[rows]])
+            width = min(max(beam, 2 * k), len(base))
+            for i in range(0, len(point), SEARCH_ROWS):
+                rows = slice(i, i + SEARCH_ROWS)
+                q = vectors[rows].astype(np.float64)
+                q_norm = np.linalg.norm(q, axis=1, keepdims=True)
+                # the closest of the beam are ranked again in double precision
+                found = graph.search((q / q_norm).astype(np.float32), width, own[rows])[:, : RANKED * k]
+                empty = found == graph.none
+                found = np.where(empty, 0, found)
+                sims = np.einsum("ij,ikj->ik", q, raw[found]) / (q_norm * norms[found])
                 sims = np.round(np.clip(sims, -1.0, 1.0), DECIMALS)
-                sims[empty[rows]] = -9.0
-                order = np.lexsort((point[at[rows]], -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, 1)
+                others = names[found]
+                sims[empty | (others == point[rows][:, None])] = -9.0
+                order = np.lexsort((others, -sims), axis=1)[:, :k]
+                best, others = np.take_along_axis(sims, order, 1), np.take_along_axis(others, order, 1)
                 r, c = np.nonzero(best > -9.0)
                 out_q.append(point[rows][r])
-                out_o.append(point[np.take_along_axis(at[rows], order, 1)[r, c]])
+                out_o.append(others[r, c])
                 out_s.append(best[r, c])
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0), type=t)
         return pa.table({"point": cat(out_q, pa.int64()), "other": cat(out_o, pa.int64()), "sim": cat(out_s, pa.float64())})
