@@ -199,7 +199,13 @@ class ShardGraph:
             ids[at], sims[at], done[at] = all_ids.ravel()[best], all_sims.ravel()[best], all_done.ravel()[best]
 
     def search(self, queries: np.ndarray, width: int, own: np.ndarray | None = None) -> np.ndarray:
-        """Point numbers of `beam`, chunked so that the marks of seen points stay within SEEN_BYTES."""
+        """Point numbers of `search_scored`."""
+        return self.search_scored(queries, width, own)[0]
+
+    def search_scored(self, queries: np.ndarray, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """`beam`, chunked so that the marks of seen points stay within SEEN_BYTES."""
         chunk = int(max(1, min(1024, SEEN_BYTES // (self.n + 1))))
-        parts = [self.beam(queries[i : i + chunk], width, None if own is None else own[i : i + chunk])[0] for i in range(0, len(queries), chunk)]
-        return np.vstack(parts) if parts else np.empty((0, width), np.int32)
+        parts = [self.beam(queries[i : i + chunk], width, None if own is None else own[i : i + chunk]) for i in range(0, len(queries), chunk)]
+        if not parts:
+            return np.empty((0, width), np.int32), np.empty((0, width), np.float32)
+        return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])

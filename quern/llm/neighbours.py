@@ -1,7 +1,8 @@
 """The most similar vectors of every vector.
 
-Equal vectors are one point of the index, so a vector that a third of the rows share is indexed and
-searched once. The points go to shards by the nearest of a set of trained centres; each shard builds
+Vectors of one direction (equal, or exactly scaled) are one point of the index, so a direction that a
+third of the rows share is indexed and searched once. Points whose similarity only rounds to 1 (scaled
+copies rounded to float32) are paired apart from the index, cell by cell. The points go to shards by the nearest of a set of trained centres; each shard builds
 a robust-pruned directed graph (`graph_index`) over its points, and each point is searched for by
 beam search in its nearest shards. Per point the few candidates of all shards are merged, ranked in
 double precision, and widened to rows again.
@@ -9,6 +10,7 @@ double precision, and widened to rows again.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,10 +29,13 @@ SHARD_POINTS, MOST_SHARDS = 1000, 4096
 SHARD_SAMPLE, TRAIN_ROUNDS = 32, 8
 #: Shards searched per point, and width of the beam.
 PROBES, BEAM = 16, 64
-#: Of each beam, so many times k candidates are ranked in double precision.
-RANKED = 5
 #: Similarities that agree in so many decimals are equal.
 DECIMALS = 12
+#: More than float32 can be off in an inner product of unit vectors (64 numbers): what lies so far below a similarity is less.
+FLOAT_SLACK = 2e-5
+#: Unit vectors farther apart have a similarity that does not round to 1; width of a cell, and projections that make one up.
+TIE_REACH = 1.1 * 10 ** (-DECIMALS / 2)
+TIE_CELL, TIE_AXES = 64 * TIE_REACH, 4
 
 
 def clean_vectors(df: DataFrame, key: str, vector: str, length: int) -> DataFrame:
@@ -114,6 +119,11 @@ def _floats(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
     return out[0] if len(out) == 1 else np.vstack(out) if out else np.empty((0, length), "<f4")
 
 
+def _cosines(a: np.ndarray, a_norm: np.ndarray, b: np.ndarray, b_norm: np.ndarray) -> np.ndarray:
+    """Rounded similarity of each row of `a` with the same row of `b`."""
+    return np.round(np.clip(np.einsum("ij,ij->i", a, b) / (a_norm * b_norm), -1.0, 1.0), DECIMALS)
+
+
 #: Queries of a shard that are searched and ranked at a time.
 SEARCH_ROWS = 4096
 
@@ -136,15 +146,20 @@ def _searcher(length: int, k: int, beam: int):
             for i in range(0, len(point), SEARCH_ROWS):
                 rows = slice(i, i + SEARCH_ROWS)
                 q = vectors[rows].astype(np.float64)
-                q_norm = np.linalg.norm(q, axis=1, keepdims=True)
-                # the closest of the beam are ranked again in double precision
-                found = graph.search((q / q_norm).astype(np.float32), width, own[rows])[:, : RANKED * k]
+                q_norm = np.linalg.norm(q, axis=1)
+                found, rough = graph.search_scored((q / q_norm[:, None]).astype(np.float32), width, own[rows])
                 empty = found == graph.none
                 found = np.where(empty, 0, found)
-                sims = np.einsum("ij,ikj->ik", q, raw[found]) / (q_norm * norms[found])
-                sims = np.round(np.clip(sims, -1.0, 1.0), DECIMALS)
+                # all of the beam that may be among the k closest besides the point itself is ranked again in double precision
+                least = rough[:, min(k, width - 1)] - FLOAT_SLACK
+                sims = np.full(found.shape, -9.0)
+                for c in range(width):
+                    r = np.flatnonzero(~empty[:, c] & (rough[:, c] >= least))
+                    if not len(r):
+                        break
+                    sims[r, c] = _cosines(q[r], q_norm[r], raw[found[r, c]], norms[found[r, c]])
                 others = names[found]
-                sims[empty | (others == point[rows][:, None])] = -9.0
+                sims[others == point[rows][:, None]] = -9.0
                 order = np.lexsort((others, -sims), axis=1)[:, :k]
                 best, others = np.take_along_axis(sims, order, 1), np.take_along_axis(others, order, 1)
                 r, c = np.nonzero(best > -9.0)
@@ -157,10 +172,73 @@ def _searcher(length: int, k: int, beam: int):
     return search
 
 
+def _tie_cells(points: DataFrame, length: int) -> DataFrame:
+    """cell, point, vec, home: each point in the cell of its direction (home) and in every further cell that holds directions within TIE_REACH."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes = np.linalg.qr(np.random.default_rng(5).normal(size=(length, min(TIE_AXES, length))))[0]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            along = _unit(b.column(1).to_pylist(), length)[1] @ axes
+            cell = np.floor(along / TIE_CELL).astype(np.int64)
+            inside = along - cell * TIE_CELL
+            step = np.where(inside < TIE_REACH, -1, np.where(inside > TIE_CELL - TIE_REACH, 1, 0))
+            for some in range(1 << axes.shape[1]):
+                moved = (some >> np.arange(axes.shape[1])) & 1
+                r = np.flatnonzero((step[:, moved == 1] != 0).all(1))
+                if len(r):
+                    # 16 bits an axis: the numbers of cells lie within +-1 / TIE_CELL
+                    number = ((cell[r] + step[r] * moved + (1 << 15)).astype(np.uint64) << (16 * np.arange(axes.shape[1])).astype(np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+                    take = pa.array(r)
+                    yield pa.RecordBatch.from_arrays([pa.array(number), b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(r), some == 0))], ["cell", "point", "vec", "home"])
+
+    return points.select("point", "vec").mapInArrow(run, "cell long, point long, vec binary, home boolean")
+
+
+def _tied(length: int, k: int):
+    def search(table: pa.Table) -> pa.Table:
+        """Of one cell, per point the `k` smallest others whose similarity rounds to 1: point, other, sim."""
+        raw, home, point = _floats(table["vec"], length).astype(np.float64), table["home"].to_numpy(), table["point"].to_numpy()
+        norms = np.linalg.norm(raw, axis=1)
+        base = np.flatnonzero(home)
+        base = base[np.argsort(point[base])]
+        out_q, out_o = [], []
+        for i in range(0, len(point), 1024):
+            open_ = np.arange(i, min(i + 1024, len(point)))
+            missing = np.full(len(open_), k)
+            # the smallest first, until each has its k
+            for j in range(0, len(base), 64):
+                some = base[j : j + 64]
+                r, c = np.nonzero(np.ones((len(open_), len(some)), bool))
+                q, o = open_[r], some[c]
+                tie = (_cosines(raw[q], norms[q], raw[o], norms[o]) >= 1.0) & (point[q] != point[o])
+                tie = tie.reshape(len(open_), len(some))
+                tie &= np.cumsum(tie, 1) <= missing[:, None]
+                r, c = np.nonzero(tie)
+                out_q.append(point[open_[r]])
+                out_o.append(point[some[c]])
+                missing = missing - tie.sum(1)
+                open_, missing = open_[missing > 0], missing[missing > 0]
+                if not len(open_):
+                    break
+        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return pa.table({"point": pa.array(cat(out_q), pa.int64()), "other": pa.array(cat(out_o), pa.int64()), "sim": pa.array(np.ones(len(cat(out_q))), pa.float64())})
+
+    return search
+
+
+def tied_points(points: DataFrame, length: int, k: int) -> DataFrame:
+    """point, other, sim (1): at least the `k` smallest other points whose similarity rounds to 1, however many there are."""
+    cells = _tie_cells(points, length).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
+    # few cells hold more than one point
+    return cells.where(F.col("n") > 1).groupBy("cell").applyInArrow(_tied(length, k), "point long, other long, sim double")
+
+
 def point_neighbours(points: DataFrame, length: int, k: int, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
     """point, near: array of (sim, other), the up to `k` most similar other points, by similarity and then the smaller number.
 
-    `points` holds point (a number) and vec (little-endian float32 bytes), distinct in both.
+    `points` holds point (a number) and vec (little-endian float32 bytes), distinct in both, no two of one direction.
     """
     n = points.count()
     count = max(1, min(MOST_SHARDS, math.ceil(n / SHARD_POINTS)))
@@ -176,8 +254,10 @@ def point_neighbours(points: DataFrame, length: int, k: int, probes: int = PROBE
     # one shard is a task's work, so the exchange gets a partition per shard; small ones are not merged
     placed = routed.repartition(max(len(centres), 1), "shard")
     found = placed.groupBy("shard").applyInArrow(_searcher(length, k, beam), "point long, other long, sim double")
-    # at most probes * k candidates per point
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("away"), F.col("other")))), 1, k)
+    # those at similarity 1 go by their number alone, so they are not left to the beam, which holds any of them
+    found = found.unionByName(tied_points(points, length, k))
+    # at most probes * k candidates per point, and k of each of its few cells
+    best = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("sim")).alias("away"), F.col("other"))))), 1, k)
     return found.groupBy("point").agg(best.alias("b")).select("point", F.transform("b", lambda x: F.struct((-x["away"]).alias("sim"), x["other"].alias("other"))).alias("near"))
 
 
@@ -185,16 +265,16 @@ def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embeddin
     """(`key`_1, `key`_2), smaller first: at least one is among the `k` most similar of the other by cosine.
 
     Equal similarities go to the smaller key. Rows whose vector is null, of another length, all zero
-    or not finite take no part; a row delivered twice counts once. Equal vectors form one class:
-    its members are each other's nearest, and of any class only the `k` + 1 smallest keys can ever be
-    neighbours, so a hot class costs no more than its rows. Approximate: see the README for recall.
+    or not finite take no part; a row delivered twice counts once. Vectors of exactly one direction form
+    one class: its members are each other's nearest and equally similar to all others, so of any class only
+    the `k` + 1 smallest keys can ever be neighbours, and a hot class costs no more than its rows.
+    Approximate: see the README for recall.
     """
-    rows = clean_vectors(df, key, vector, length)
-    rows = rows.withColumns({"c1": F.xxhash64("vec"), "c2": F.xxhash64(F.lit("second"), "vec")})
+    rows = _classed(clean_vectors(df, key, vector, length), key, length)
     # ranks beyond k + 1 are cut before the exchange (window group limit), so a hot class does not pile up
     w = Window.partitionBy("c1", "c2").orderBy(key)
     low = cut(rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select(key, "c1", "c2", "r", F.when(F.col("r") == 1, F.col("vec")).alias("vec")))
-    packed = _packed(low.where(F.col("r") == 1).select(F.col(key).alias("point"), "vec"))
+    packed = low.where(F.col("r") == 1).select(F.col(key).cast("long").alias("point"), "vec")
     # the search's result (k numbers a point) is kept in the shared folder: measuring and joining it must not search again
     near = cut(point_neighbours(packed, length, k, probes, beam))
     # the smallest members of each class, under the number of its point (the smallest of all)
@@ -210,15 +290,24 @@ def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embeddin
     return pairs.select(F.least("a", "b").alias(f"{key}_1"), F.greatest("a", "b").alias(f"{key}_2")).distinct()
 
 
-def _packed(points: DataFrame) -> DataFrame:
-    """vec as the bytes of its float32 numbers."""
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Each row over its largest magnitude, in double precision: rows are equal exactly where one vector is a positive multiple of the other.
+
+    Quotients of the same value round alike, and two different quotients of float32 numbers (24 bits each)
+    are at least 2**-48 apart, so they stay apart in 53 bits.
+    """
+    x = vectors.astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True) + 0.0
+
+
+def _classed(rows: DataFrame, key: str, length: int) -> DataFrame:
+    """`key`, vec as the bytes of its float32 numbers, c1 and c2: 128 bits of a hash of its direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4")
-            n = len(flat) // max(b.num_rows, 1)
-            blobs = [flat[i * n : (i + 1) * n].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["point", "vec"])
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, length)
+            marks = [hashlib.blake2b(d.tobytes(), digest_size=16).digest() for d in directions(x)] if len(x) else []
+            c = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(c[:, 0]), pa.array(c[:, 1])], [key, "vec", "c1", "c2"])
 
-    return points.mapInArrow(run, "point long, vec binary")
+    return rows.select(key, "vec").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vec binary, c1 long, c2 long")

@@ -70,3 +70,43 @@ def test_centres_split_crowded_regions():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = N.train_centres(x, 10)
     assert np.bincount((x @ c.T).argmax(1), minlength=len(c)).max() <= 500
+
+
+def copies_of(v, n, scales, seed):
+    """`n` copies of `v` under shuffled ids, multiplied by `scales`."""
+    rng = np.random.default_rng(seed)
+    return list(zip(5000 + rng.permutation(n), (v[None, :] * scales(rng, n)[:, None]).astype(np.float32)))
+
+
+def pairs_of(spark, rows):
+    df = spark.createDataFrame([(int(i), [float(v) for v in x]) for i, x in rows], "pair_id long, embedding array<float>")
+    return {tuple(r) for r in N.neighbour_pairs(df).collect()}, brute(np.array([i for i, _ in rows]), np.array([x for _, x in rows]))
+
+
+def test_many_exactly_scaled_copies(spark):
+    """More copies of one direction than a beam holds, looked for from inside and from nearby."""
+    x = np.round(clustered(40, 5) * 64) / np.float32(64)
+    near = (x[0] + np.random.default_rng(6).normal(size=(10, 64)) * 0.01).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x[1:])] + [(1000 + i, v) for i, v in enumerate(near)]
+    got, want = pairs_of(spark, rows + copies_of(x[0], 400, lambda r, n: 1.0 + r.permutation(n), 7))
+    assert got == want
+
+
+def test_many_rounded_scaled_copies(spark):
+    """Copies whose direction float32 rounds: similarity 1 goes to the smallest ids, of hundreds."""
+    x = clustered(300, 8)
+    rows = [(i, v) for i, v in enumerate(x[1:])] + copies_of(x[0] + 5, 400, lambda r, n: r.uniform(0.1, 10, n), 9)
+    got, want = pairs_of(spark, rows)
+    hot = lambda pairs: {p for p in pairs if p[0] >= 5000}
+    assert hot(got) == hot(want)
+    assert len(got & want) / len(want) > 0.99 and len(got - want) <= 0.01 * len(got)
+
+
+def test_directions_tell_multiples():
+    v = clustered(50, 10)
+    w = np.nextafter(v, np.float32(np.inf))
+    d = N.directions(v)
+    assert (d == N.directions(v * np.float32(2.0**-9))).all()
+    assert not (d == N.directions(w)).all(1).any() and not (d == N.directions(-v)).all(1).any()
+    small = np.array([[3, -6, 1, 0.0]], np.float32)
+    assert (N.directions(small) == N.directions(small * 7)).all()
