@@ -22,9 +22,7 @@ from quern.plans.sizing import sized_join
 ROUNDS, SETTLED = 200, 1e-9
 #: Documents of one source are drawn in groups of about so many; a group is sorted by one task.
 GROUP_ROWS = 200_000
-#: Cells of languages or topics beyond this many values are joined under "other".
-MOST_VALUES = 64
-OTHER, NONE = "other", "none"
+NONE = "none"
 
 
 def topic_of(repo: Column) -> Column:
@@ -105,17 +103,6 @@ def rake(tokens: np.ndarray, source: np.ndarray, shares: np.ndarray, limits: np.
     return Fit(weights, float(total), rounds)
 
 
-def _value(c: Column, kept: list[str]) -> Column:
-    v = F.coalesce(c, F.lit(NONE))
-    return F.when(v.isin(kept), v).otherwise(F.lit(OTHER)) if kept else F.lit(OTHER)
-
-
-def _frequent(df: DataFrame, c: str) -> list[str]:
-    """The MOST_VALUES values of `c` with the most tokens."""
-    top = df.groupBy(F.coalesce(c, F.lit(NONE)).alias("v")).agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t"), "v").limit(MOST_VALUES)
-    return [r["v"] for r in top.collect()]
-
-
 def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
     """`key`, source, n_tokens, weight and copies (how often to use the document) of every row of `sized`.
 
@@ -129,8 +116,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1
     spark = sized.sparkSession
     wanted = [r for r in targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("limit")).collect() if r["source"] is not None and (r["share"] or 0) > 0 and (r["limit"] or 0) > 0]
     wanted.sort(key=lambda r: r["source"])
-    langs, topics = _frequent(sized, "lang"), _frequent(sized, "topic")
-    celled = sized.select(key, "source", "n_tokens", _value(F.col("lang"), langs).alias("lang"), _value(F.col("topic"), topics).alias("topic"))
+    celled = sized.select(key, "source", "n_tokens", *(F.coalesce(c, F.lit(NONE)).alias(c) for c in ("lang", "topic")))
     names = [r["source"] for r in wanted]
     cells = celled.where(F.col("source").isin(names) & (F.col("n_tokens") > 0)).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect() if names else []
     cells.sort(key=lambda r: (r["source"], r["lang"], r["topic"]))

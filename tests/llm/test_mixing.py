@@ -54,3 +54,15 @@ def test_limits_hold_when_marginals_push():
     tokens = np.array([1.0, 99.0])
     fit = M.rake(tokens, np.array([0, 0]), np.array([1.0]), np.array([1.0]), [np.array([0, 1])])
     assert fit.weights == pytest.approx([1.0, 1.0])
+
+
+def test_rare_values_keep_their_marginals(spark):
+    """Eighty languages in both sources, in opposite amounts: each is raked, the rarest too."""
+    sized = [(100 * i + j, s, f"l{i:02}", "x", t) for i in range(80) for j, (s, t) in enumerate([("a", 200 + i), ("b", 400 - 4 * i)])]
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 3)], TARGETS)
+    got = {(r["source"], r["doc_id"] // 100): r["weight"] for r in M.mix(spark.createDataFrame(sized, SIZED), targets).collect()}
+    cells = sorted((s, l, t) for _, s, l, _, t in sized)
+    lang = np.array([int(l[1:]) for _, l, _ in cells])
+    fit = M.rake(np.array([float(t) for *_, t in cells]), np.array(["ab".index(s) for s, *_ in cells]), np.array([0.7, 0.3]), np.array([3.0, 3.0]), [lang, np.zeros(160, int)])
+    assert [got[s, i] for (s, *_), i in zip(cells, lang)] == pytest.approx(list(fit.weights))
+    assert len({round(got["b", i], 6) for i in range(80)}) > 64
