@@ -1,8 +1,9 @@
 """Raw delimited records: load the valid ones, set the others aside with the reason.
 
 One anchored pattern per schema (columns, delimiter, quote) accepts a whole valid record. A record
-that it refuses goes through incremental prefix patterns, one column longer each, which name the
-first broken column, and gets the reason by the order quoting, column_count, value. All patterns
+that it refuses gets the reason by the order quoting, column_count, value, from one pattern for each
+of the first two and a check of the numbers; incremental prefix patterns, one column longer each, only
+name the first broken column (`first_broken`). All patterns
 use possessive quantifiers: a record is read once without backtracking or recursion, so cells of
 any length are safe. Records and schemas meet in one join on the file; everything is a built-in
 expression, no Python sees a record.
