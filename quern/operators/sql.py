@@ -8,68 +8,164 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import dialect
+
 #: Rows that a query's export may have at most; beyond them it is refused, not cut.
 EXPORT_ROWS = 5_000_000
 
-#: Constructs of other dialects, with what to write instead (fixed values).
+#: Constructs of other dialects that have no counterpart here, with what to write instead (fixed values).
 HINTS = {
-    r"\*\s*exclude\b": "write * EXCEPT (...) instead of * EXCLUDE",
-    r"\bqualify\b": "filter the window function in an outer query instead of QUALIFY",
-    r"\bdistinct\s+on\b": "use row_number() in a subquery instead of DISTINCT ON",
     r"\bfetch\s+first\b": "write LIMIT instead of FETCH FIRST",
-    r"\bunnest\s*\(": "write explode(...) instead of unnest(...)",
-    r"\blist_\w+\s*\(": "use the array functions (transform, filter, array_sort, ...) instead of list_*",
-    r"->>": "write get_json_object(column, path) instead of ->>",
+    r"\blist_\w+\s*\(": "there is no such list function; the array functions are there (transform, filter, array_sort, ...)",
     r"\basof\s+join\b": "there is no ASOF JOIN",
     r"\browid\b": "there is no rowid",
 }
 
+# Kinds of plan nodes that a query may be made of.
+NODES = frozenset(
+    """Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join Union Intersect Except SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedInlineTable
+    UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedHint OneRowRelation$ OneRowRelation Generate LateralJoin AsOfJoin Pivot Unpivot
+    WithWindowDefinition LocalRelation Window Sample Range Expand NamedParametersQuery NameParameterizedQuery PosParameterizedQuery WithCTE Subquery GroupingSets Cube Rollup""".split()
+)
+# Groups of built-in functions that only compute on their arguments, and those of the mixed group that do.
+FUNCTION_GROUPS = frozenset("agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs st_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs xml_funcs".split())
+OTHER_FUNCTIONS = frozenset("typeof bitmap_bit_position bitmap_bucket_number bitmap_count hll_sketch_estimate hll_union approx_top_k_estimate uuid".split())
+TABLE_FUNCTIONS = frozenset("range explode posexplode inline stack explode_outer posexplode_outer inline_outer json_tuple variant_explode variant_explode_outer".split())
+#: Words that give away the session without brackets.
+SESSION_WORDS = frozenset("current_user user session_user current_catalog current_database current_schema current_path".split())
+#: Names that the parser turns into calls of its own.
+_SYNTAX = frozenset("struct array map named_struct in exists".split())
+
 
 class QueryError(ValueError):
     """SQL that is no plain query over the given tables."""
 
 
+def _strip(text: str) -> str:
+    """The statement without the semicolons, blanks and comments behind it; a second statement raises."""
+    parts = dialect.tokens(text)
+    while parts and (parts[-1].kind == "space" or parts[-1].text == ";"):
+        parts.pop()
+    if any(t.text == ";" for t in parts):
+        raise QueryError("only one statement is allowed")
+    if not parts:
+        raise QueryError("the query is empty")
+    return "".join(t.text for t in parts).strip()
+
+
 def query(df: DataFrame, text: str, tables: Mapping[str, DataFrame] | None = None, args: Mapping | None = None) -> DataFrame:
     """The result of a query over view `df` and the views of `tables`.
 
-    Runs in a session of its own, so views never leak. Commands (DDL, SET, INSERT, ...) and relations
-    other than the given views (files, catalog tables) raise QueryError; so does text that does not
-    parse, with a hint where another dialect's construct is known.
+    The tables are bound as named parts of the one query, so the session keeps no views. The text may
+    use the analytic dialect of `dialect.translate`. Everything is decided on the parsed plan: only
+    kinds of nodes that make up queries, only the given tables, and only built-in functions that
+    compute on their arguments pass. Commands (DDL, SET, INSERT, ...), files, catalog tables, functions
+    that reach the JVM, the session, the files or the user, and registered functions raise QueryError;
+    so does text that does not parse, with a hint where a construct is known.
     """
-    text = text.strip()
-    while text.endswith(";"):
-        text = text[:-1].rstrip()
+    said = _strip(text)
+    words = [t.low for t in dialect.tokens(said) if t.kind != "space"]
+    if ("asof", "join") in zip(words, words[1:]):
+        raise QueryError("there is no ASOF JOIN")  # it would parse as a table of that name
     spark = df.sparkSession
     names = {"df": df, **(tables or {})}
-    jvm_parser = spark._jsparkSession.sessionState().sqlParser()
+    parser = spark._jsparkSession.sessionState().sqlParser()
     try:
-        parsed = jvm_parser.parsePlan(text)
+        try:
+            text, parsed = said, parser.parsePlan(said)
+            if (moved := dialect.translate(said)) != said:
+                text, parsed = moved, parser.parsePlan(moved)
+        except Exception:
+            text = dialect.translate(said)
+            parsed = parser.parsePlan(text)
     except Exception as e:
-        hint = next((h for p, h in HINTS.items() if re.search(p, text, re.I)), None)
-        raise QueryError(hint or str(e).split("\n")[0]) from None
-    shown = parsed.toString()
-    if _is_command(parsed):
-        raise QueryError("only queries are allowed")
-    known = {n.lower() for n in names} | {m.lower() for m in re.findall(r"CTE \[([^\]]*)\]", shown) for m in re.split(r",\s*", m)}
-    for rel in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", shown):
-        if rel.lower() not in known:
-            raise QueryError(f"no table {rel.replace(', ', '.')}; there are {', '.join(sorted(names))}")
-    for function in re.findall(r"'UnresolvedTableValuedFunction \[([^\]]*)\]", shown):
-        if function.lower() not in ("range", "explode", "posexplode", "inline", "stack", "sequence", "explode_outer", "posexplode_outer", "inline_outer", "json_tuple"):
-            raise QueryError(f"no table function {function}")
+        raise QueryError(_hint(said) or str(e).strip().split("\n")[0]) from None
+    _Guard(spark, names).plan(parsed, frozenset())
     # placeholders keep the caller's session free of views
     fills = {f"__q_{n}": t for n, t in names.items()}
     body = "WITH " + ", ".join(f"`{n}` AS (SELECT * FROM {{__q_{n}}})" for n in names)
     try:
         return spark.sql(_merge_with(body, text), args=dict(args) if args else None, **fills)
     except Exception as e:
-        hint = next((h for p, h in HINTS.items() if re.search(p, text, re.I)), None)
-        raise QueryError(hint or str(e).split("\n")[0]) from None
-
-
-def _is_command(plan) -> bool:
-    name = plan.getClass().getName()
-    return ".command." in name.lower() or name.endswith(("Command", "Statement")) or any(w in name for w in ("CreateTable", "DropTable", "InsertInto", "SetCatalog", "CacheTable", "Describe", "Explain", "ShowTables", "CreateView", "SetConfig", "Merge", "Delete", "Update", "Truncate", "Refresh", "Analyze", "Load", "Alter", "CreateNamespace", "DropNamespace", "Show", "UseStatement", "SetNamespace"))
+        raise QueryError(_hint(said) or str(e).strip().split("\n")[0]) from None
+
+
+def _hint(text: str) -> str | None:
+    return next((h for p, h in HINTS.items() if re.search(p, text, re.I)), None)
+
+
+class _Guard:
+    """Walks a parsed plan and raises at the first thing that is not allowed."""
+
+    def __init__(self, spark, names: Mapping[str, DataFrame]) -> None:
+        self.names = names
+        self.known = {n.lower() for n in names}
+        self.columns = {c.lower() for t in names.values() for c in t.columns}
+        self.registry = spark._jsparkSession.sessionState().functionRegistry()
+        self.identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+        self.good: set[str] = set(_SYNTAX)
+
+    def plan(self, node, ctes: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in NODES:
+            raise QueryError(f"only queries are allowed, not {kind}")
+        if kind == "UnresolvedWith":
+            relations = node.cteRelations()
+            own = [relations.apply(i) for i in range(relations.size())]
+            # a part sees those before it, and in a recursive list itself
+            for r in own:
+                ctes = ctes | {r._1().lower()}
+                self.plan(r._2(), ctes)
+        elif kind == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            name = ".".join(parts.apply(i) for i in range(parts.size()))
+            if parts.size() != 1 or name.lower() not in self.known | ctes:
+                raise QueryError(f"no table {name}; there are {', '.join(sorted(self.names))}")
+        elif kind == "UnresolvedTableValuedFunction":
+            self.function(node.name(), TABLE_FUNCTIONS)
+        elif kind == "LateralJoin":
+            self.expression(node.right(), ctes)
+        expressions = node.expressions()
+        for i in range(expressions.size()):
+            self.expression(expressions.apply(i), ctes)
+        children = node.children()
+        for i in range(children.size()):
+            self.plan(children.apply(i), ctes)
+
+    def expression(self, e, ctes: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            self.function(e.nameParts(), None)
+        elif kind == "CallMethodViaReflection" or kind.startswith("Invoke") or kind == "StaticInvoke":
+            raise QueryError("calls of methods are not allowed")
+        elif kind == "UnresolvedAttribute":
+            parts = e.nameParts()
+            # bare words that stand for a function unless a column has the name
+            if parts.size() == 1 and parts.apply(0).lower() in SESSION_WORDS - self.columns:
+                raise QueryError(f"{parts.apply(0)} is not allowed")
+        elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            self.plan(e.plan(), ctes)
+        children = e.children()
+        for i in range(children.size()):
+            self.expression(children.apply(i), ctes)
+
+    def function(self, parts, allowed: frozenset[str] | None) -> None:
+        path = [parts.apply(i).lower() for i in range(parts.size())]
+        name = path[-1]
+        if allowed is not None:
+            if len(path) != 1 or name not in allowed:
+                raise QueryError(f"no table function {'.'.join(path)}")
+            return
+        if name in self.good and len(path) == 1:
+            return
+        found = self.registry.lookupFunction(self.identifier(name)) if len(path) == 1 else None
+        if found is None or not found.isDefined():
+            # what does not exist, or lives in a catalog
+            raise QueryError(_hint(f"{name}(") or f"no function {'.'.join(path)}")
+        info = found.get()
+        if info.getSource() != "built-in" or not (info.getGroup() in FUNCTION_GROUPS or name in OTHER_FUNCTIONS):
+            raise QueryError(f"function {name} is not allowed")
+        self.good.add(name)
 
 
 def _merge_with(head: str, text: str) -> str:

@@ -2,7 +2,10 @@
 
 The base is never rewritten. Edits are appended as small files (row id, order, operation, values as
 JSON, sequence number); reading joins the latest edits to the base by row id. The log is bounded by
-the edits made, so it is broadcast when its measured size allows and shuffled otherwise.
+the edits made, so it is broadcast when its measured size allows and shuffled otherwise. A small
+pointer file names the base and the log in force; whatever replaces one of them is written beside it
+first and comes into force by one atomic rename of the pointer. Sequence numbers are claimed by
+creating a file that must not exist, so two writers never get the same one.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from quern.plans.sizing import sized_join
 
 ID, ORD = "_row_id", "_row_ord"
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
+#: Order number from which appended rows count on, and sequence numbers that one claim covers.
+_APPENDED, _BATCH = 1 << 48, 1 << 20
 _LOG = "row_id string, row_ord long, op string, body string, seq long"
 
 
@@ -49,10 +54,10 @@ def overlay(base: DataFrame, log: DataFrame) -> DataFrame:
     return j.select(ID, ORD, *[F.when(F.col(f"u{i}").isNotNull(), F.col(f"u{i}.x")).otherwise(F.col(f"`{f.name}`")).alias(f.name) for i, f in enumerate(data)])
 
 
-def batch_update(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+def batch_update(base: DataFrame, updates: DataFrame, key: str, keep_on_null: bool = False) -> DataFrame:
     """`base` with the columns of `updates` set where `key` matches; a key that `base` lacks, or that repeats, raises before anything is built.
 
-    A null in `updates` leaves the value as it is.
+    A null in `updates` sets null; with `keep_on_null` it leaves the value as it is. Null keys match nothing and raise.
     """
     bad = updates.groupBy(key).count().where("count > 1").limit(1).count()
     missing = updates.join(base.select(key), key, "left_anti").limit(1).count()
@@ -61,9 +66,10 @@ def batch_update(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     cols = [c for c in updates.columns if c != key]
     if unknown := [c for c in cols if c not in base.columns]:
         raise StagedError(f"no such columns: {', '.join(unknown)}")
-    u = updates.select(key, *[F.col(f"`{c}`").alias(f"__u_{c}") for c in cols])
+    u = updates.select(key, F.lit(True).alias("__hit"), *[F.col(f"`{c}`").alias(f"__u_{c}") for c in cols])
     j = sized_join(base, u, key, "left")
-    return j.select(*[F.coalesce(F.col(f"__u_{c}"), F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in base.columns])
+    new = lambda c: F.coalesce(F.col(f"__u_{c}"), F.col(f"`{c}`")) if keep_on_null else F.when(F.col("__hit"), F.col(f"__u_{c}")).otherwise(F.col(f"`{c}`"))
+    return j.select(*[new(c).alias(c) if c in cols else F.col(f"`{c}`") for c in base.columns])
 
 
 class StagedTable:
@@ -78,40 +84,76 @@ class StagedTable:
     def index(cls, df: DataFrame, folder: str) -> StagedTable:
         """Take a snapshot of `df` with a stable id and order for every row; present reserved columns are replaced."""
         t = cls(df.sparkSession, folder)
-        plain = df.drop(*RESERVED)
-        with_ordinal(plain, ORD).withColumn(ID, F.expr("uuid()")).write.mode("overwrite").parquet(f"{t.folder}/base")
-        t._clear_log()
+        t._switch(base=t._written(with_ordinal(df.drop(*RESERVED), ORD).withColumn(ID, F.expr("uuid()"))), log=t._empty_log())
         return t
 
-    def _delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def _clear_log(self) -> None:
-        self._delete(f"{self.folder}/log")
-        self.spark.createDataFrame([], _LOG).write.parquet(f"{self.folder}/log")
+    def _path(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _delete(self, name: str) -> None:
+        p, fs = self._path(name)
+        fs.delete(p, True)
+
+    def _written(self, df: DataFrame) -> str:
+        name = f"base-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _empty_log(self) -> str:
+        name = f"log-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], _LOG).write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _pointer(self) -> dict:
+        p, fs = self._path("current.json")
+        if not fs.exists(p):
+            raise StagedError(f"nothing is staged in {self.folder}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _switch(self, **new: str) -> None:
+        """Put a base, a log or both into force. What they replace is removed at the switch after this one, so readers that began before it can end."""
+        from quern.sources.files import _replace
+
+        old = self._pointer() if self._path("current.json")[1].exists(self._path("current.json")[0]) else {"base": None, "log": None, "left": []}
+        state = {**{k: old[k] for k in ("base", "log")}, **new, "left": [old[k] for k in new if old[k]]}
+        name = f"current-{uuid.uuid4().hex}.tmp"
+        p, fs = self._path(name)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+        _replace(self.spark, f"{self.folder}/{name}", f"{self.folder}/current.json")
+        for gone in old["left"]:
+            self._delete(gone)
 
     def is_indexed(self) -> bool:
-        return self._exists(f"{self.folder}/base/_SUCCESS") and self._exists(f"{self.folder}/log")
+        p, fs = self._path("current.json")
+        return fs.exists(p)
 
     def unindex(self) -> None:
-        self._delete(self.folder)
+        self._delete("")
 
     def restore(self) -> None:
-        """Forget all edits."""
-        self._clear_log()
+        """Forget all edits of rows."""
+        self._switch(log=self._empty_log())
+
+    def reindex(self) -> None:
+        """Fold the edits into a new base: rows keep their ids and order, deleted rows are gone for good."""
+        self._rewrite(self.rows())
 
     # --- reading
 
     def _base(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/base")
+        return self.spark.read.parquet(f"{self.folder}/{self._pointer()['base']}")
 
     def _log(self) -> DataFrame:
-        return self.spark.read.schema(_LOG).parquet(f"{self.folder}/log")
+        return self.spark.read.schema(_LOG).parquet(f"{self.folder}/{self._pointer()['log']}")
 
     def rows(self) -> DataFrame:
         """The table as it stands, with its id and order columns, unordered."""
@@ -137,20 +179,26 @@ class StagedTable:
         return own
 
     def _append(self, entries: Sequence[tuple]) -> None:
-        self.spark.createDataFrame(list(entries), _LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
-
-    def _next_seq(self) -> int:
-        return int(self._log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]) + 1
-
-    def _next_ord(self) -> int:
-        a = self._base().agg(F.max(ORD)).first()[0]
-        b = self._log().agg(F.max("row_ord")).first()[0]
-        return max(-1 if a is None else a, -1 if b is None else b) + 1
+        self.spark.createDataFrame(list(entries), _LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/{self._pointer()['log']}")
+
+    def _claim(self) -> int:
+        """The next number that no writer has: a file of its name is created, which only one of several writers can do."""
+        folder, fs = self._path("claims")
+        fs.mkdirs(folder)
+        taken = [int(s.getPath().getName()) for s in fs.listStatus(folder)]
+        n = max(taken, default=0) + 1
+        while not fs.createNewFile(self._path(f"claims/{n}")[0]):
+            n += 1
+        # the highest number stays, so it is never given out again
+        for old in sorted(taken)[:-64]:
+            self._delete(f"claims/{old}")
+        return n
 
     def append(self, values: Mapping[str, object]) -> DataFrame:
         """Add a row at the end (missing columns null); returns it."""
-        row_id = str(uuid.uuid4())
-        self._append([(row_id, self._next_ord(), INSERT, json.dumps(self._checked(values), default=str), self._next_seq())])
+        row_id, n = str(uuid.uuid4()), self._claim()
+        # behind every row of the base, in the order of the claims
+        self._append([(row_id, _APPENDED + n, INSERT, json.dumps(self._checked(values), default=str), n * _BATCH)])
         return self.get(row_id)
 
     def _require(self, ids: Sequence[str]) -> None:
@@ -163,14 +211,16 @@ class StagedTable:
         own = self._checked(values)
         self._require([row_id])
         if own:
-            self._append([(row_id, None, UPDATE, json.dumps(own, default=str), self._next_seq())])
+            self._append([(row_id, None, UPDATE, json.dumps(own, default=str), self._claim() * _BATCH)])
         return self.get(row_id)
 
     def update_many(self, updates: Sequence[tuple[str, Mapping[str, object]]]) -> None:
         """Set columns of many rows; every id and column is checked before the first is written, and all are written at once."""
         checked = [(i, self._checked(v)) for i, v in updates]
         self._require([i for i, _ in checked])
-        seq = self._next_seq()
+        if len(checked) > _BATCH:
+            raise StagedError(f"at most {_BATCH} updates at once; more go through batch_update")
+        seq = self._claim() * _BATCH
         entries = [(i, None, UPDATE, json.dumps(v, default=str), seq + k) for k, (i, v) in enumerate(checked) if v]
         if entries:
             self._append(entries)
@@ -179,18 +229,14 @@ class StagedTable:
         """Remove a row; returns what it was."""
         self._require([row_id])
         gone = self.get(row_id).collect()
-        self._append([(row_id, None, DELETE, "{}", self._next_seq())])
+        self._append([(row_id, None, DELETE, "{}", self._claim() * _BATCH)])
         return gone
 
     # --- columns: a new snapshot, row ids and order kept
 
     def _rewrite(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/base.new")
-        self._delete(f"{self.folder}/base")
-        jvm = self.spark.sparkContext._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/base.new"), jvm.org.apache.hadoop.fs.Path(f"{self.folder}/base")
-        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
-        self._clear_log()
+        """A new base with an empty log; both come into force in one step."""
+        self._switch(base=self._written(df), log=self._empty_log())
 
     def _has(self, name: str) -> bool:
         return name.lower() in {c.lower() for c in self._base().columns}

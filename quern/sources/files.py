@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import csv
-import json
 import os
-import shutil
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -13,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows on which a schema is inferred; later values that do not fit it become null.
-INFER_ROWS = 10_000
+#: Rows on which a schema is inferred, None for all of them; with a number, later values that do not fit become null.
+INFER_ROWS: int | None = None
 #: Bytes of a text file that the dialect is guessed from.
 SNIFF_BYTES = 64 << 10
 DELIMITERS = ",\t;|"
@@ -71,21 +69,32 @@ def sniff(sample: str, delimiter: str | None = None, quote: str | None = None) -
     return delimiter, quote or '"'
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote: str | None = None, schema: T.StructType | None = None, rows: int | None = None, splittable: bool = False) -> DataFrame:
-    """Delimited text with a header. The schema is inferred on the first rows and then fixed: long rows are cut, short ones filled with null, wrong values null.
+def _quoting(spark: SparkSession, path: str, delimiter: str, quote: str) -> tuple[bool, bool]:
+    """(quoted, spanning): whether cells are quoted at all, and whether one may span lines; from one aggregate over all lines.
 
-    A quoted cell may hold line breaks, so a file is read by one task; `splittable` promises that
-    none does, and a large file is then split among many.
+    A quote that never closes would swallow the rest of a file, so a file in which some line has an odd
+    number of quotes but none ever opens a cell is read without quoting.
     """
-    text = _head(spark, path).decode("utf-8", "replace")
-    d, q = sniff(text, delimiter, quote)
-    # a quote that never closes would swallow the rest of the file: read such files without quoting
-    lines = [x for x in text.splitlines()[:-1] if x]
-    loose = sum(x.count(q) % 2 for x in lines) > 0 and not any(f"{d}{q}" in x or x.startswith(q) for x in lines)
-    base = {"header": True, "sep": d, "quote": "" if loose else q, "escape": q if not loose else "\\", "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": not loose and not splittable}
+    line = F.col("value")
+    count = F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))
+    opens = F.startswith(line, F.lit(quote)) | (F.instr(line, delimiter + quote) > 0)
+    row = spark.read.text(path).agg(F.count_if(count % 2 == 1).alias("odd"), F.count_if((count > 0) & opens).alias("opens")).first()
+    return not (row["odd"] and not row["opens"]), bool(row["odd"] and row["opens"])
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote: str | None = None, schema: T.StructType | None = None, rows: int | None = None, infer_rows: int | None = None) -> DataFrame:
+    """Delimited text with a header. The schema is inferred on all rows (`infer_rows`: on the first ones only) and then fixed: long rows are cut, short ones filled with null, wrong values null.
+
+    One look at all lines tells whether a quoted cell may span lines; only then is a file one task's
+    work, all others are split among many. `rows` caps what is read, and what the schema is inferred on.
+    """
+    d, q = sniff(_head(spark, path).decode("utf-8", "replace"), delimiter, quote)
+    quoted, spanning = _quoting(spark, path, d, q)
+    base = {"header": True, "sep": d, "quote": q if quoted else "", "escape": q if quoted else "\\", "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": spanning}
     if schema is None:
-        head = spark.read.options(**base).csv(path).limit(INFER_ROWS)
-        schema = _infer(head)
+        head = spark.read.options(**base).csv(path)
+        most = min((n for n in (rows, infer_rows, INFER_ROWS) if n is not None), default=None)
+        schema = _infer(head if most is None else head.limit(most))
     if len({f.name.lower() for f in schema.fields}) < len(schema.fields):
         raise FormatError("column names must differ in more than letter case")
     out = spark.read.options(**base).schema(schema).csv(path)
@@ -118,8 +127,11 @@ def _infer(head: DataFrame) -> T.StructType:
 
 
 def read_json_lines(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """One JSON object per line; the schema comes from the first rows."""
-    sample = spark.read.text(path).limit(INFER_ROWS)
+    """One JSON object per line; the schema holds every field of every line (of the first `rows` where that is set)."""
+    most = min((n for n in (rows, INFER_ROWS) if n is not None), default=None)
+    if most is None:
+        return spark.read.json(path)
+    sample = spark.read.text(path).limit(most)
     schema = spark.read.json(sample.rdd.map(lambda r: r[0])).schema if sample.head(1) else T.StructType([])
     out = spark.read.schema(schema).json(path)
     return out.limit(rows) if rows is not None else out
@@ -133,35 +145,59 @@ def read_json(spark: SparkSession, path: str, rows: int | None = None) -> DataFr
     return out.limit(rows) if rows is not None else out
 
 
+def _files_of(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """The file itself, or the files of a folder that end in `suffix`, in order."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        raise FormatError(f"there is no {path}")
+    if not fs.getFileStatus(p).isDirectory():
+        return [str(fs.makeQualified(p))]
+    return sorted(str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().lower().endswith(suffix))
+
+
+def _arrow_source(uri: str):
+    """(open input, close) of a file on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(inner)
+
+
+def _arrow_reader(source):
+    """Reader of an Arrow file, or of an Arrow stream: (schema, iterator of batches)."""
+    import pyarrow as pa
+
+    try:
+        f = pa.ipc.open_file(source)
+        return f.schema, (f.get_batch(i) for i in range(f.num_record_batches))
+    except pa.ArrowInvalid:
+        source.seek(0)
+        s = pa.ipc.open_stream(source)
+        return s.schema, iter(s)
+
+
 def read_arrow(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """An Arrow IPC file, or a folder of them: each file is read by the task that its path goes to, batch by batch."""
+    """An Arrow IPC file or stream, or a folder of them: a task per file, which holds one batch at a time; the driver reads only a schema.
+
+    All files must have the schema of the first.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    def batches(blob: bytes) -> Iterator[pa.RecordBatch]:
-        try:
-            f = pa.ipc.open_file(pa.BufferReader(blob))
-            yield from (f.get_batch(i) for i in range(f.num_record_batches))
-        except pa.ArrowInvalid:
-            yield from pa.ipc.open_stream(pa.BufferReader(blob))
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path)
-    first = files.select("content").head(1)
-    if not first:
+    found = _files_of(spark, path, ".arrow")
+    if not found:
         raise FormatError(f"there is no Arrow file at {path}")
-    blob = bytes(first[0][0])
-    try:
-        arrow_schema = pa.ipc.open_file(pa.BufferReader(blob)).schema
-    except pa.ArrowInvalid:
-        arrow_schema = pa.ipc.open_stream(pa.BufferReader(blob)).schema
-    schema = from_arrow_schema(arrow_schema)
+    with _arrow_source(found[0]) as source:
+        schema = from_arrow_schema(_arrow_reader(source)[0])
 
     def load(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            for content in p.column(0):
-                yield from batches(content.as_py())
+            for uri in p.column(0).to_pylist():
+                with _arrow_source(uri) as source:
+                    yield from _arrow_reader(source)[1]
 
-    out = files.select("content").mapInArrow(load, schema)
+    listed = spark.createDataFrame([(x,) for x in found], "uri string").repartition(min(len(found), 10_000), "uri")
+    out = listed.mapInArrow(load, schema)
     return out.limit(rows) if rows is not None else out
 
 
@@ -210,72 +246,126 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another in one step: a reader sees the old file or the new one."""
+    jvm = spark.sparkContext._jvm
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    a, fs = _fs(spark, source)
+    b = fs.makeQualified(_fs(spark, target)[0])
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(a), b, how)
+
+
+def _replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder in the place of another. Two renames: in between a reader may find nothing, but no rows are ever lost, and a failure puts the old folder back."""
+    p, fs = _fs(spark, target)
+    aside = _fs(spark, f"{target.rstrip('/')}.{uuid.uuid4().hex}.old")[0]
+    moved = fs.exists(p)
+    if moved and not fs.rename(p, aside):
+        raise FormatError(f"cannot replace {target}")
+    if not fs.rename(_fs(spark, source)[0], p):
+        if moved:
+            fs.rename(aside, p)
+        raise FormatError(f"cannot write {target}")
+    if moved:
+        fs.delete(aside, True)
+
+
 def write_df(df: DataFrame, path: str, single: bool = True) -> str:
     """Write a table by its extension; returns the path.
 
-    With `single` one file appears at `path` by a rename once it is complete, so readers see the old
-    file or the new one. Without it `path` becomes a folder written by all tasks. A JSON array and
-    an Arrow file are put together from parts that are streamed, never held whole.
+    With `single` one file appears at `path` by one rename once it is complete, so readers see the old
+    file or the new one. Without it `path` becomes a folder written by all tasks (see `_replace_folder`).
+    Works on any file system of the cluster; nothing passes through the driver or a machine's own disk.
     """
     ext = extension(path)
     spark = df.sparkSession
     if ext not in ("csv", "data", "tsv", "json", "jsonl", "ndjson", "parquet", "arrow"):
         raise FormatError(f"no writer for .{ext}")
-    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    tmp = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     body = df.coalesce(1) if single else df
     if ext in ("csv", "data", "tsv"):
         _flat(body).write.options(header=True, sep="\t" if ext == "tsv" else ",", quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(tmp)
     elif ext == "parquet":
         body.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields]).write.parquet(tmp)
+    elif ext == "json" and single:
+        # records behind each other with commas; the brackets are put around them below
+        body.write.options(ignoreNullFields="false", lineSep=",").json(tmp)
     elif ext in ("json", "jsonl", "ndjson"):
         body.write.option("ignoreNullFields", "false").json(tmp)
     else:
-        return _write_arrow(df, path, tmp)
+        _write_arrow(body, tmp)
+    p, fs = _fs(spark, tmp)
     if not single:
-        p, fs = _fs(spark, path)
-        fs.delete(p, True)
-        fs.rename(_fs(spark, tmp)[0], p)
+        _replace_folder(spark, tmp, path)
         return path
-    p, fs = _fs(spark, tmp)
-    part = next(str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
+    part = next((str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")), None)
     if ext == "json":
-        local = _local(path)
-        with open(_local(part), encoding="utf-8") as src, open(f"{local}.part", "w", encoding="utf-8") as out:
-            out.write("[")
-            for i, line in enumerate(src):
-                out.write(("," if i else "") + line.rstrip("\n"))
-            out.write("]")
-        os.replace(f"{local}.part", local)
-    else:
-        target, _ = _fs(spark, path)
-        fs.delete(target, False)
-        fs.rename(_fs(spark, part)[0], target)
+        part = _bracketed(spark, part, f"{tmp}/array")
+    _replace(spark, part, path)
     fs.delete(p, True)
     return path
 
 
-def _local(path: str) -> str:
-    if ":" in path.split("/", 1)[0] and not path.startswith("file:"):
-        raise FormatError("JSON arrays and single Arrow files need a local or mounted path")
-    return path[5:] if path.startswith("file:") else path
+def _bracketed(spark: SparkSession, part: str | None, target: str) -> str:
+    """`part`, records that each end in a comma, as one JSON array; copied by streams of the file system."""
+    to, fs = _fs(spark, target)
+    out = fs.create(to, True)
+    try:
+        out.write(bytearray(b"["))
+        if part is not None:
+            p = _fs(spark, part)[0]
+            size = fs.getFileStatus(p).getLen() - 1
+            if size > 0:
+                src = fs.open(p)
+                try:
+                    spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(src, out, 0, size)
+                finally:
+                    src.close()
+        out.write(bytearray(b"]"))
+    finally:
+        out.close()
+    return target
 
 
-def _write_arrow(df: DataFrame, path: str, tmp: str) -> str:
+def _write_arrow(df: DataFrame, folder: str) -> None:
+    """Each partition as an Arrow file `part-n.arrow` of a new folder, written batch by batch by its task."""
     import pyarrow as pa
+    from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    local = _local(path)
+    spark = df.sparkSession
     schema = to_arrow_schema(df.schema)
-    scratch = _local(tmp)
-    df.write.parquet(scratch)
-    import pyarrow.dataset as ds
-
-    with pa.OSFile(f"{local}.part", "wb") as sink, pa.ipc.new_file(sink, schema) as w:
-        for batch in ds.dataset(scratch, format="parquet").to_batches():
-            w.write_batch(pa.RecordBatch.from_arrays([batch.column(i).cast(schema.field(i).type) for i in range(len(schema))], schema=schema))
-    os.replace(f"{local}.part", local)
-    shutil.rmtree(scratch)
-    return path
+    p, fs = _fs(spark, folder)
+    fs.mkdirs(p)
+    uri = str(fs.makeQualified(p))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as arrow_fs
+
+        context = TaskContext.get()
+        system, inner = arrow_fs.FileSystem.from_uri(uri)
+        # an attempt writes a file of its own, so a repeated task never meets half of another
+        name = f"{inner}/.{context.partitionId()}-{context.taskAttemptId()}"
+        with system.open_output_stream(name) as sink, pa.ipc.new_file(sink, schema) as w:
+            for b in batches:
+                w.write_batch(pa.RecordBatch.from_arrays([b.column(i).cast(schema.field(i).type) for i in range(len(schema))], schema=schema))
+        yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name.rpartition("/")[2]])], ["part", "name"])
+
+    written = df.mapInArrow(save, "part int, name string").collect()
+    for r in written:
+        fs.rename(_fs(spark, f"{folder}/{r['name']}")[0], _fs(spark, f"{folder}/part-{r['part']:05d}.arrow")[0])
+    if not written:
+        # a table without partitions still has a schema
+        import pyarrow.fs as arrow_fs
+
+        system, inner = arrow_fs.FileSystem.from_uri(uri)
+        with system.open_output_stream(f"{inner}/part-00000.arrow") as sink, pa.ipc.new_file(sink, schema):
+            pass
+    for s in fs.listStatus(p):
+        if s.getPath().getName().startswith("."):
+            fs.delete(s.getPath(), False)
 
 
 def json_view(df: DataFrame) -> DataFrame:
