@@ -1,9 +1,10 @@
 """Differences between two copies of a dataset, cell by cell.
 
-Both copies are turned into key-field-value cells, united with a signed count (-1 left, +1 right)
-and grouped by key; what does not cancel is a difference. The cells of one row share their key, so
-they travel through the shuffle packed in one record and are unpacked (one row per field) only
-where the key's cells fail to cancel: the shuffle carries each input row once, not once per field.
+Both copies become rows of key, field, value and a signed count (-1 left, +1 right); grouped by key,
+field and value, equal cells cancel, and what is left over is a difference. One exchange by key
+brings the copies together. Before it a key's repeated rows become one row per side, and behind it
+rows that are equal as a whole cancel as a whole, so only rows that differ somewhere are unpivoted:
+the cells are grouped where they are, without a further exchange.
 """
 
 from __future__ import annotations
@@ -19,46 +20,76 @@ from quern.plans.sizing import sized_join
 ADDED, REMOVED, MODIFIED, WHOLE_ROW = "added", "removed", "modified", "*"
 
 
-def same_value(a: Column, b: Column, kind: T.DataType, tolerance: float) -> Column:
-    """Null equals only null, NaN equals NaN, floating numbers within `tolerance` are equal, all else exactly."""
-    exact = a.eqNullSafe(b)
+def cell_value(c: Column, kind: T.DataType) -> Column:
+    """A value of any type in the one type that cells have: `num` for floating numbers, `text` for all else, null for null.
+
+    Values are equal exactly where their cells are: the texts of whole numbers, times and booleans
+    are unique, bytes are written in hexadecimal digits and nested values as JSON.
+    """
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        close = F.abs(a - b) <= F.lit(tolerance)
-        # NaN sorts above every number, so the comparison is false whenever exactly one side is NaN
-        return exact | F.coalesce(close, F.lit(False))
-    return exact
+        return F.struct(c.cast("double").alias("num"), F.lit(None).cast("string").alias("text"))
+    if isinstance(kind, T.BinaryType):
+        text = F.hex(c)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        text = F.when(c.isNotNull(), text)
+    else:
+        text = c.cast("string")
+    return F.struct(F.lit(None).cast("double").alias("num"), text.alias("text"))
 
 
 def signed_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One record per row of either copy: keys, signed count, packed cells."""
+    """`keys`, field, value and n, the signed count of every cell that does not cancel.
+
+    The key itself is a cell of field `*`, so a key of one side only is left over with its sign.
+    """
+    kinds = {f.name: f.dataType for f in left.schema.fields}
+    named = [F.col(f"`{k}`") for k in keys]
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        cells = F.struct(*[F.col(f"`{f}`") for f in fields]) if fields else F.struct(F.lit(0).alias("none"))
-        return df.select(*[F.col(f"`{k}`") for k in keys], F.lit(sign).alias("__sign"), cells.alias("__cells"))
+        # a row without fields still is a row
+        row = F.struct(F.lit(True).alias("there"), *[F.col(f"`{f}`").alias(f"c{i}") for i, f in enumerate(fields)])
+        return df.select(*named, F.lit(sign).alias("__sign"), row.alias("__row"))
+
+    # one row per key and side; partial sums before the exchange keep a key delivered any number of times small
+    both = side(left, -1).unionByName(side(right, 1)).groupBy(*named).agg(
+        F.max(F.when(F.col("__sign") < 0, F.col("__row"))).alias("__l"),
+        F.max(F.when(F.col("__sign") > 0, F.col("__row"))).alias("__r"),
+    )
+    differing = both.where(~F.col("__l").eqNullSafe(F.col("__r")))
+
+    def cells(row: str, sign: int) -> Column:
+        own = [F.struct(F.lit(WHOLE_ROW).alias("field"), F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("text")).alias("value"), F.lit(sign).alias("n"))]
+        own += [F.struct(F.lit(f).alias("field"), cell_value(F.col(f"{row}.c{i}"), kinds[f]).alias("value"), F.lit(sign).alias("n")) for i, f in enumerate(fields)]
+        return F.when(F.col(row).isNotNull(), F.array(*own)).otherwise(F.array().cast("array<struct<field:string,value:struct<num:double,text:string>,n:int>>"))
 
-    return side(left, -1).unionByName(side(right, 1))
+    unpivoted = differing.select(*named, F.inline(F.concat(cells("__l", -1), cells("__r", 1))))
+    counted = unpivoted.groupBy(*named, "field", "value").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") != 0)
 
 
 def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
     """Rows missing on either side and fields that differ: the keys, `status` and `field`.
 
     `status` is added (key only in `right`, field `*`), removed (only in `left`, field `*`) or
-    modified (one row per differing field). Null equals only null, in keys too. Rows delivered more
-    than once in full count once; should one copy hold several different rows for a key, the
-    greatest of them (fields compared in order, null lowest) stands for the key. Empty inputs give
-    the other side's rows as added or removed; columns outside `keys` and `fields` are ignored.
-    Group state is one row per side, so a key delivered any number of times never piles up.
+    modified (one row per differing field). Null equals only null, in keys too, NaN equals NaN, and
+    floating numbers within `tolerance` are equal: of the two cells left over for a field that are so
+    close, each takes the other's count away (closeness is no grouping, so this step follows the
+    cancelling). Rows delivered more than once in full count once; should one copy hold several
+    different rows for a key, the greatest of them (fields compared in order, null lowest) stands
+    for the key. Empty inputs give the other side's rows as added or removed; columns outside `keys`
+    and `fields` are ignored.
     """
-    kinds = {f.name: f.dataType for f in left.schema.fields}
-    packed = signed_cells(left, right, keys, fields)
-    per_key = packed.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.max(F.when(F.col("__sign") < 0, F.col("__cells"))).alias("__l"),
-        F.max(F.when(F.col("__sign") > 0, F.col("__cells"))).alias("__r"),
-    )
-    differing = F.array_compact(F.array(*[F.when(~same_value(F.col(f"__l.`{f}`"), F.col(f"__r.`{f}`"), kinds[f], tolerance), F.lit(f)) for f in fields])) if fields else F.array().cast("array<string>")
-    status = F.when(F.col("__l").isNull(), ADDED).when(F.col("__r").isNull(), REMOVED).otherwise(MODIFIED)
-    names = F.when(F.col("__l").isNull() | F.col("__r").isNull(), F.array(F.lit(WHOLE_ROW))).otherwise(differing)
-    return per_key.select(*[F.col(f"`{k}`") for k in keys], status.alias("status"), F.explode(names).alias("field"))
+    named = [F.col(f"`{k}`") for k in keys]
+    left_over = signed_cells(left, right, keys, fields)
+    num = lambda sign: F.max(F.when(F.col("n") * sign > 0, F.col("value.num")))
+    per_field = left_over.groupBy(*named, "field").agg(F.sum("n").alias("net"), num(-1).alias("a"), num(1).alias("b"))
+    # a null or NaN on either side leaves the difference no number at most `tolerance`
+    close = F.coalesce(F.abs(F.col("a") - F.col("b")) <= F.lit(tolerance), F.lit(False))
+    found = per_field.where((F.col("net") != 0) | ~close)
+    # a missing row is told by its key's cell; its other cells only repeat that
+    status = F.when(F.col("field") != WHOLE_ROW, F.when(F.col("net") == 0, MODIFIED)).when(F.col("net") > 0, ADDED).otherwise(REMOVED)
+    return found.select(*named, status.alias("status"), "field").where(F.col("status").isNotNull())
 
 
 def rows_of_pairs(pairs: DataFrame, rows: DataFrame, pair_file: str, columns: Sequence[str]) -> DataFrame:

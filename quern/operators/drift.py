@@ -1,16 +1,18 @@
 """Schemas that drift between versions of a file.
 
-The fields of two consecutive versions form two schema graphs: field nodes joined to their type,
-their name parts and their neighbours. Match scores start from names, types and agreement of
-values and flood along the graphs' common edges until they settle (similarity flooding); a greedy
-one-to-one selection on the settled scores gives the correspondences. Each row's values never
-leave the executors: a field's column of values is summed into an order-free fingerprint first, so
-the flooding only ever sees schema-sized input.
+All fields of two consecutive versions form two schema graphs: field nodes joined to their type,
+their name parts, their neighbours and the field that they are nested in. Match scores start from
+names, types and agreement of values and flood along the graphs' common edges until they settle
+(similarity flooding); a greedy one-to-one selection on the settled scores gives the correspondences.
+Each row's values never leave the executors: a field's column of values is summed into an order-free
+fingerprint first, so the flooding only ever sees schema-sized input. Versions in which no field
+vanishes or none appears have no correspondence to find and are told by names alone.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import defaultdict
 
 import pandas as pd
@@ -18,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.plans.scratch import cut
 from quern.plans.sizing import sized_join
 
 _TEXT = T.StringType()
-_PAIRS = T.ArrayType(T.StructType([T.StructField("old", _TEXT), T.StructField("new", _TEXT)]))
+_CHANGES = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("name", "change", "old_name", "old_type", "type")]))
 _LINES = T.ArrayType(T.StructType([T.StructField("file_version", T.IntegerType()), T.StructField("name", _TEXT), T.StructField("column", _TEXT)]))
 
 #: Spellings of one type.
@@ -29,7 +32,8 @@ TYPE_SPELLINGS = {"int64": "i64", "int32": "i32", "float64": "f64", "string": "s
 #: Types that a column of several types is read as, the later the wider.
 WIDENING = ["bool", "i32", "i64", "f64", "str"]
 
-FLOOD_ROUNDS = 50
+#: Rounds after which flooding that has not settled is reported; the change below which it has settled.
+FLOOD_ROUNDS = 1000
 FLOOD_EPSILON = 1e-4
 
 
@@ -57,7 +61,7 @@ def flood(old: list[dict], new: list[dict]) -> dict[tuple[int, int], float]:
     None). Only pairs with something in common (a name part, a trigram-alike name or equal values
     of one type) become nodes; they are found through inverted lists, so no pair of unrelated
     fields is ever built. Each node's score flows to pairs that share its edges: equal types,
-    shared name parts, and neighbours by place.
+    shared name parts, neighbours by place, and fields nested in the same two fields (`a.b` lies in `a`).
     """
     by_print, by_part = defaultdict(list), defaultdict(list)
     for j, f in enumerate(new):
@@ -86,6 +90,13 @@ def flood(old: list[dict], new: list[dict]) -> dict[tuple[int, int], float]:
         for p in _parts(f["name"]) & _parts(g["name"]):
             edges[("part", p)].append((i, j))
         edges[("place", f["no"] - g["no"])].append((i, j))
+        inside = (f["name"].rpartition(".")[0], g["name"].rpartition(".")[0])
+        if all(inside):
+            edges[("nested", *inside)].append((i, j))
+    for i, j in start:
+        # the pair of enclosing fields takes part in the flow among what they enclose
+        if (key := ("nested", old[i]["name"], new[j]["name"])) in edges:
+            edges[key].append((i, j))
     score = dict(start)
     for _ in range(FLOOD_ROUNDS):
         flow: dict[tuple[int, int], float] = defaultdict(float)
@@ -100,6 +111,8 @@ def flood(old: list[dict], new: list[dict]) -> dict[tuple[int, int], float]:
         score = raised
         if moved < FLOOD_EPSILON:
             break
+    else:
+        warnings.warn(f"match scores of {len(old)} and {len(new)} fields have not settled", stacklevel=2)
     return score
 
 
@@ -107,14 +120,15 @@ def select_renames(old: list[dict], new: list[dict]) -> list[tuple[str, str]]:
     """One-to-one (old name, new name), best settled score first; then only those of one type with equal values stay.
 
     The exact check comes before a pair is taken, so a look-alike name cannot use up a field whose
-    true partner scores lower. Equal scores go by names.
+    true partner scores lower. Equal scores go by names. A name that is in both corresponds to itself.
     """
     score = flood(old, new)
+    both = {f["name"] for f in old} & {f["name"] for f in new}
     ranked = sorted(score, key=lambda k: (-score[k], old[k[0]]["name"], new[k[1]]["name"]))
     used_old, used_new, out = set(), set(), []
     for i, j in ranked:
         f, g = old[i], new[j]
-        if i in used_old or j in used_new or f["type"] != g["type"] or f["print"] is None or f["print"] != g["print"]:
+        if f["name"] in both or g["name"] in both or i in used_old or j in used_new or f["type"] != g["type"] or f["print"] is None or f["print"] != g["print"]:
             continue
         used_old.add(i)
         used_new.add(j)
@@ -122,14 +136,35 @@ def select_renames(old: list[dict], new: list[dict]) -> list[tuple[str, str]]:
     return out
 
 
-@F.pandas_udf(_PAIRS)
-def _renames(groups: pd.Series) -> pd.Series:
-    def of(fields):
-        plain = [{"name": x["name"], "type": x["type"], "no": x["no"] or 0, "print": x["print"], "new": x["is_new"]} for x in fields]
-        plain.sort(key=lambda x: (x["new"], x["name"]))
-        return [{"old": a, "new": b} for a, b in select_renames([x for x in plain if not x["new"]], [x for x in plain if x["new"]])]
-
-    return groups.map(of)
+@F.pandas_udf(_CHANGES)
+def _changes(entries: pd.Series, prints: pd.Series) -> pd.Series:
+    """All changes of a transition from its fields and the fingerprints of those that vanish or appear."""
+
+    def of(fields, marks):
+        by = {(m["name"], m["is_new"]): m["print"] for m in (marks if marks is not None else ())}
+        sides = {False: [], True: []}
+        for x in sorted(fields, key=lambda x: x["name"]):
+            for is_new, side in ((False, x["o"]), (True, x["n"])):
+                if side is not None:
+                    moved = x["o"] is None or x["n"] is None
+                    sides[is_new].append({"name": x["name"], "type": side["type"], "no": side["no"] or 0, "print": by.get((x["name"], is_new), "none") if moved else None})
+        partner = {new: old for old, new in select_renames(sides[False], sides[True])}
+        types = {is_new: {f["name"]: f["type"] for f in side} for is_new, side in sides.items()}
+        renamed_away = set(partner.values())
+        out = []
+        for x in fields:
+            name, was, now = x["name"], types[False].get(x["name"]), types[True].get(x["name"])
+            if was is None:
+                old = partner.get(name)
+                out.append({"name": name, "change": "added" if old is None else "renamed", "old_name": old, "old_type": None if old is None else types[False][old], "type": now})
+            elif now is None:
+                if name not in renamed_away:
+                    out.append({"name": name, "change": "removed", "old_name": name, "old_type": was, "type": None})
+            elif was != now:
+                out.append({"name": name, "change": "retyped", "old_name": name, "old_type": was, "type": now})
+        return out
+
+    return pd.Series([of(f, m) for f, m in zip(entries, prints)], dtype=object)
 
 
 def clean_fields(fields: DataFrame) -> DataFrame:
@@ -143,51 +178,56 @@ def clean_fields(fields: DataFrame) -> DataFrame:
 
 
 def transitions(fields: DataFrame) -> DataFrame:
-    """path, old_version, file_version: each existing version with the one before it."""
+    """path, file_version, old_version, next_version: each existing version with its neighbours (null where there is none)."""
     w = Window.partitionBy("path").orderBy("file_version")
-    return (
-        fields.select("path", "file_version").distinct().withColumn("old_version", F.lag("file_version").over(w)).where(F.col("old_version").isNotNull())
-    )
+    return fields.select("path", "file_version").distinct().withColumns({"old_version": F.lag("file_version").over(w), "next_version": F.lead("file_version").over(w)})
 
 
-def compared_fields(fields: DataFrame, steps: DataFrame) -> DataFrame:
-    """Per transition and name: o and n, the field (type, no) in the older and the later version, null where it is not there."""
-    as_new = fields.join(steps.select("path", "file_version"), ["path", "file_version"], "left_semi").select("path", "file_version", "name", F.struct("type", "no").alias("f"), F.lit(True).alias("is_new"))
-    as_old = fields.withColumnRenamed("file_version", "old_version").join(steps, ["path", "old_version"]).select("path", "file_version", "name", F.struct("type", "no").alias("f"), F.lit(False))
-    return as_new.union(as_old).groupBy("path", "file_version", "name").agg(
-        F.max(F.when(~F.col("is_new"), F.col("f"))).alias("o"), F.max(F.when(F.col("is_new"), F.col("f"))).alias("n")
-    )
+def compared_fields(fields: DataFrame) -> DataFrame:
+    """path, file_version, old_version and `fields` of each transition: name, o and n, the field (type, no) in the older and the later version, null where it is not there.
+
+    Rows without path, version or name are left out; of several rows of a field the latest counts. A
+    transition's list is bounded by the columns of its two versions.
+    """
+    known = fields.where(F.col("path").isNotNull() & F.col("file_version").isNotNull() & F.col("name").isNotNull())
+    steps = cut(transitions(known))
+    field = F.struct("committed_at", "field_no", "dtype")
+    # every field plays in the transition to its version and in the one from it; repeated rows meet in the same sums
+    roles = F.array(F.struct(F.col("old_version").alias("a"), F.col("file_version").alias("b"), F.lit(True).alias("is_new")), F.struct(F.col("file_version").alias("a"), F.col("next_version").alias("b"), F.lit(False).alias("is_new")))
+    played = sized_join(known.select("path", "file_version", "name", field.alias("f")), steps, ["path", "file_version"]).select("path", "name", "f", F.inline(roles)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    per = played.groupBy("path", F.col("b").alias("file_version"), "name").agg(F.max("a").alias("old_version"), F.max(F.when(~F.col("is_new"), F.col("f"))).alias("o"), F.max(F.when(F.col("is_new"), F.col("f"))).alias("n"))
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.coalesce(type_name(F.col(f"{c}.dtype")), F.lit("?")).alias("type"), F.col(f"{c}.field_no").alias("no"))).alias(c)
+    return per.groupBy("path", "file_version").agg(F.max("old_version").alias("old_version"), F.collect_list(F.struct("name", side("o"), side("n"))).alias("fields"))
 
 
-def value_prints(records: DataFrame, steps: DataFrame, moved: DataFrame) -> DataFrame:
-    """Fingerprint of the values of fields that vanish or appear, over the rows present in both versions.
+def value_prints(records: DataFrame, moved: DataFrame) -> DataFrame:
+    """path, file_version and `prints` (name, is_new, print): fingerprints of the values of fields that vanish or appear, over the rows present in both versions.
 
-    `moved` holds path, file_version, gone (names) and come (names) of the transitions to look at.
+    `moved` holds path, file_version, old_version, gone (names) and come (names) of the transitions to look at.
     The print is a sum over rows of two independent 64-bit hashes of (row, value), with the row
     count: equal columns have equal prints whatever the order, and unequal ones collide with a
     chance near 2^-128. Rows are hashed where they are read; the one wide exchange brings the two
     versions of a row together by its key.
     """
-    want = moved.join(steps, ["path", "file_version"]).select("path", "old_version", "file_version", "gone", "come")
-    roles = want.select("path", F.col("file_version").alias("at"), "file_version", F.col("come").alias("names"), F.lit(True).alias("is_new")).union(
-        want.select("path", "old_version", "file_version", "gone", F.lit(False))
+    roles = moved.select("path", F.col("file_version").alias("at"), "file_version", F.col("come").alias("names"), F.lit(True).alias("is_new")).union(
+        moved.select("path", "old_version", "file_version", "gone", F.lit(False))
     )
     rows = records.select("path", F.col("file_version").alias("at"), "row_key", "record")
-    cells = F.from_json("record", "map<string,string>")
-    wide = sized_join(rows, roles, ["path", "at"]).withColumn("__m", cells)
-    values = F.transform("names", lambda n: F.try_element_at("__m", n))
-    wide = wide.select("path", "file_version", "row_key", "is_new", F.struct("names", values.alias("values")).alias("v"))
+    wide = sized_join(rows, roles, ["path", "at"]).withColumn("__m", F.from_json("record", "map<string,string>"))
+    # a value is reduced to its two hashes before it is moved; an absent value is a null one
+    valued = lambda n: F.coalesce(F.concat(F.lit("v"), F.try_element_at("__m", n)), F.lit("n"))
+    hashes = F.transform("names", lambda n: F.struct(n.alias("name"), F.xxhash64("row_key", valued(n)).alias("h1"), F.xxhash64(F.lit("second"), valued(n), "row_key").alias("h2")))
+    wide = wide.select("path", "file_version", "row_key", "is_new", hashes.alias("v"))
     both = wide.groupBy("path", "file_version", "row_key").agg(
         F.max(F.when(~F.col("is_new"), F.col("v"))).alias("o"), F.max(F.when(F.col("is_new"), F.col("v"))).alias("n")
     )
     both = both.where(F.col("o").isNotNull() & F.col("n").isNotNull())
-    side = lambda c, is_new: F.transform(F.arrays_zip(f"{c}.names", f"{c}.values"), lambda x: F.struct(x["names"].alias("name"), F.lit(is_new).alias("is_new"), x["values"].alias("value")))
-    long = both.select("path", "file_version", "row_key", F.inline(F.concat(side("o", False), side("n", True))))
-    valued = F.coalesce(F.concat(F.lit("v"), F.col("value")), F.lit("n"))
-    h1, h2 = F.xxhash64("row_key", valued), F.xxhash64(F.lit("second"), valued, "row_key")
-    wrap = lambda h: F.sum(F.shiftright(h, 32)).cast("string")
-    low = lambda h: F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).cast("string")
-    return long.groupBy("path", "file_version", "name", "is_new").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), wrap(h1), low(h1), wrap(h2), low(h2)).alias("print"))
+    side = lambda c, is_new: F.transform(c, lambda x: F.struct(x["name"].alias("name"), F.lit(is_new).alias("is_new"), x["h1"].alias("h1"), x["h2"].alias("h2")))
+    long = both.select("path", "file_version", F.inline(F.concat(side("o", False), side("n", True))))
+    high = lambda h: F.sum(F.shiftright(h, 32)).cast("string")
+    low = lambda h: F.sum(F.col(h).bitwiseAND(F.lit(0xFFFFFFFF))).cast("string")
+    summed = long.groupBy("path", "file_version", "name", "is_new").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), high("h1"), low("h1"), high("h2"), low("h2")).alias("print"))
+    return summed.groupBy("path", "file_version").agg(F.collect_list(F.struct("name", "is_new", "print")).alias("prints"))
 
 
 def schema_changes(fields: DataFrame, records: DataFrame) -> DataFrame:
@@ -199,29 +239,23 @@ def schema_changes(fields: DataFrame, records: DataFrame) -> DataFrame:
     possible partners in several ways are matched one to one by their settled scores. A version
     that is only in `records` is no version. Empty tables give no changes.
     """
-    clean = clean_fields(fields)
-    steps = transitions(clean)
-    cmp = compared_fields(clean, steps)
+    # kept in the shared folder: three steps read it, and it is of the size of the schemas
+    steps = cut(compared_fields(fields))
+    names = lambda side: F.transform(F.filter("fields", lambda x: x[side].isNull()), lambda x: x["name"])
+    moves = F.exists("fields", lambda x: x["o"].isNull()) & F.exists("fields", lambda x: x["n"].isNull())
+    moved = steps.where(moves)
+    prints = value_prints(records, moved.select("path", "file_version", "old_version", names("n").alias("gone"), names("o").alias("come")))
     at = ["path", "file_version"]
-    retyped = cmp.where(F.col("o").isNotNull() & F.col("n").isNotNull() & (F.col("o.type") != F.col("n.type"))).select(*at, "name", F.lit("retyped").alias("change"), F.col("name").alias("old_name"), F.col("o.type").alias("old_type"), F.col("n.type").alias("type"))
-    one_sided = cmp.where(F.col("o").isNull() | F.col("n").isNull()).select(*at, "name", F.col("n").isNotNull().alias("is_new"), F.coalesce("n", "o").alias("f"))
-    # a transition's list is bounded by the columns of two versions
-    moved = one_sided.groupBy(*at).agg(F.collect_list(F.when(~F.col("is_new"), F.col("name"))).alias("gone"), F.collect_list(F.when(F.col("is_new"), F.col("name"))).alias("come")).where((F.size("gone") > 0) & (F.size("come") > 0))
-    prints = value_prints(records, steps, moved)
-    marked = one_sided.join(prints, [*at, "name", "is_new"], "left")
-    in_play = marked.join(moved.select(*at), at, "left_semi").select(*at, F.struct("name", "is_new", F.col("f.type").alias("type"), F.col("f.no").alias("no"), F.coalesce("print", F.lit("none")).alias("print")).alias("x"))
-    renamed = in_play.groupBy(*at).agg(F.collect_list("x").alias("g")).select(*at, F.inline(_renames("g")))
-    names = renamed.select(*at, F.inline(F.array(F.struct(F.col("old").alias("name"), F.lit(False).alias("is_new"), F.col("new").alias("partner")), F.struct(F.col("new").alias("name"), F.lit(True).alias("is_new"), F.col("old").alias("partner")))))
-    told = one_sided.join(names, [*at, "name", "is_new"], "left")
-    rest = told.where(F.col("partner").isNull() | F.col("is_new")).select(
+    flooded = moved.join(prints, at, "left").select(*at, F.inline(_changes("fields", "prints")))
+    plain = steps.where(~moves).select(*at, F.inline("fields")).select(
         *at,
         "name",
-        F.when(F.col("partner").isNotNull(), "renamed").when(F.col("is_new"), "added").otherwise("removed").alias("change"),
-        F.when(F.col("partner").isNotNull(), F.col("partner")).when(~F.col("is_new"), F.col("name")).alias("old_name"),
-        F.when(F.col("partner").isNotNull() | ~F.col("is_new"), F.col("f.type")).alias("old_type"),
-        F.when(F.col("is_new"), F.col("f.type")).alias("type"),
+        F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o.type") != F.col("n.type"), "retyped").alias("change"),
+        F.when(F.col("o").isNotNull(), F.col("name")).alias("old_name"),
+        F.col("o.type").alias("old_type"),
+        F.col("n.type").alias("type"),
     )
-    return retyped.unionByName(rest)
+    return flooded.unionByName(plain.where(F.col("change").isNotNull()))
 
 
 @F.pandas_udf(_LINES)

@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 #: Most bytes (uncompressed, as counted by `measured_bytes`) that a broadcast side may have.
 BROADCAST_LIMIT = 48 << 20
 
+#: Bytes (uncompressed) that one partition of an exchange is meant to hold.
+PARTITION_BYTES = 64 << 20
+#: What a byte of a compressed columnar file becomes as a row of an exchange, before the exchange compresses it.
+EXPANSION = 6
+
 _VARIABLE = (T.StringType, T.BinaryType)
 
 
@@ -39,3 +44,14 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit:
     """
     _, size = measured_bytes(small)
     return big.join(F.broadcast(small) if size <= limit else small, on, how)
+
+
+def partitions_for(df: DataFrame, times: float = 1.0) -> int:
+    """Partitions for an exchange that moves `times` the rows of `df`, at least as many as the session's tasks run at once.
+
+    Files tell their size without a job; it is compressed, so it counts EXPANSION times. Where the
+    planner knows nothing the rows are measured.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = known * EXPANSION if known < 1 << 60 else measured_bytes(df)[1]
+    return max(1, df.sparkSession.sparkContext.defaultParallelism, -int(-size * times // PARTITION_BYTES))

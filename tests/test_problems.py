@@ -4,7 +4,11 @@ import datetime as dt
 import json
 import math
 import random
+import re
+import unittest.mock
 
+import pyarrow as pa
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -45,6 +49,26 @@ def test_copies(spark, rows):
     assert (counts[4]["added"], counts[4]["recorded_ok"]) == (0, False)
 
 
+def test_cells_cancel_behind_one_exchange(spark):
+    left = spark.createDataFrame([(1, "a", 1.0), (2, "b", NAN), (3, None, None)], "k long, s string, x double")
+    right = spark.createDataFrame([(1, "a", 1.0), (2, "c", NAN), (4, None, 0.0)], "k long, s string, x double")
+    cells = copies.signed_cells(left, right, ["k"], ["s", "x"])
+    assert sorted((r["k"], r["field"], r["n"]) for r in cells.collect()) == sorted([(2, "s", -1), (2, "s", 1), (3, "*", -1), (3, "s", -1), (3, "x", -1), (4, "*", 1), (4, "s", 1), (4, "x", 1)])
+    plan = copies.diff_copies(left, right, ["k"], ["s", "x"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_cells_of_every_type(spark):
+    make = lambda i: spark.sql(f"select 1 k, cast({i} as tinyint) a, {i}L b, cast({i} as decimal(9,3)) c, date'2024-01-0{i}' d, timestamp_ntz'2024-01-0{i} 00:00:00.00000{i}' e, {i} = 1 f, array({i}, null) g, struct({i} as x, null as y) h, map('k', {i}) i, cast('{i}' as binary) j, cast({i} as float) l")
+    fields = list("abcdefghijl")
+    assert copies.diff_copies(make(1), make(1), ["k"], [f for f in fields if f != "i"]).count() == 0
+    plain = [f for f in fields if f != "i"]  # maps have no order, so rows that hold one cannot be ranked
+    assert {r["field"] for r in copies.diff_copies(make(1), make(2), ["k"], plain).collect()} == set(plain)
+    nulls = make(1).select("k", *[F.lit(None).cast(make(1).schema[f].dataType).alias(f) for f in plain])
+    assert {r["field"] for r in copies.diff_copies(make(1), nulls, ["k"], plain).collect()} == set(plain)
+    assert [tuple(r) for r in copies.diff_copies(make(1), make(1).limit(0), ["k"], []).collect()] == [(1, "removed", "*")]
+
+
 def test_copies_of_empty_tables(spark):
     pairs = spark.createDataFrame([], "diff_id long, filename1 string, filename2 string")
     none = spark.createDataFrame([], BOX)
@@ -101,11 +125,29 @@ def test_snapshots_against_brute_force(spark):
     assert snapshots.commit_changes(e, k.limit(0)).count() == 0
 
 
-def test_snapshot_merge_uses_one_exchange_and_no_hash_table(spark):
-    e = spark.createDataFrame([("c", "p", "h", T0)], "commit_id string, path string, hash string, received_at timestamp_ntz")
-    k = spark.createDataFrame([("c", ["b"])], "commit_id string, parent_ids array<string>")
-    plan = snapshots.commit_changes(e, k)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("rangepartitioning") == 1 and "SortAggregate" in plan
+def test_snapshots_are_kept_in_sorted_ranges_and_merged_without_an_exchange(spark):
+    e = spark.createDataFrame([(f"c{i % 7}", f"p{i * 37 % 101:03}", "h", T0) for i in range(700)], "commit_id string, path string, hash string, received_at timestamp_ntz")
+    k = spark.createDataFrame([(f"c{i}", [f"c{i - 1}"]) for i in range(1, 7)], "commit_id string, parent_ids array<string>")
+    kept = snapshots.kept_snapshots(e, snapshots.first_parents(k), "path", F.lower("hash"), F.col("received_at"))
+    parts = {}
+    for r in kept.withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(r["part"], []).append((r["__at"], r["path"], r["__new"]))
+    assert len(parts) > 1 and all(x == sorted(x) for x in parts.values())
+    ranges = sorted((x[0][:2], x[-1][:2]) for x in parts.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    merge = snapshots.commit_changes(e, k)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merge and "Aggregate" not in merge and "Sort" not in merge
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 1000])
+def test_snapshot_merge_over_batches(monkeypatch, step):
+    monkeypatch.setattr(snapshots, "MERGE_ROWS", step)
+    rows = [("s", "a", False, "1"), ("s", "a", True, "1"), ("s", "b", False, "1"), ("s", "c", True, None), ("s", "d", False, None), ("s", "d", True, None), ("s", None, False, "x"), ("s", None, True, None)]
+    rows += [("t", "a", False, str(i)) for i in range(150)] + [("t", "a", True, str(i)) for i in range(149)] + [("t", "b", False, None), ("t", "b", True, "z")]
+    rows += [("u", "h", True, "q")] * 200
+    t = pa.table([[r[i] for r in rows] for i in range(4)], names=["at", "k", "new", "x"], schema=None)
+    got = [tuple(r.values()) for b in snapshots._stream(iter(t.to_batches(max_chunksize=5)), ["c", "k", "s"]) for r in b.to_pylist()]
+    assert sorted(got, key=repr) == sorted([("s", "b", "removed"), ("s", "c", "added"), ("s", None, "modified"), ("t", "a", "modified"), ("t", "b", "modified"), ("u", "h", "added")], key=repr)
 
 
 def _field(path, v, name, kind, no=1):
@@ -232,11 +274,28 @@ def test_rejects_property(spark, raws):
             rec.append((i, k, r))
             if reason := brute(r, d, q, w, n):
                 want.add((i, k, reason))
-    got = [tuple(r) for r in rejects.rejected(spark.createDataFrame(rec + rec[-2:], CSV_RECORDS), files).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    # with the patterns in the plan, and as columns
+    for most in (rejects.MOST_LITERALS, 0):
+        with unittest.mock.patch.object(rejects, "MOST_LITERALS", most):
+            got = [tuple(r) for r in rejects.rejected(spark.createDataFrame(rec + rec[-2:], CSV_RECORDS), files).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.integers(-(2**64), 2**64), st.integers(-2, 2).map(lambda i: 2**63 + i), st.integers(-2, 2).map(lambda i: -(2**63) + i)), st.sampled_from(["", "+", "-"]), st.integers(0, 30))
+def test_whole_number_pattern(n, sign, zeros):
+    text = sign + "0" * zeros + str(abs(n))
+    fits = -(2**63) <= int(text) < 2**63
+    assert (re.fullmatch(rejects.whole_number_pattern(), text) is not None) == fits
+
+
+def test_whole_number_pattern_wants_digits():
+    assert not any(re.fullmatch(rejects.whole_number_pattern(), x) for x in ("", "+", "-", " 1", "1 ", "1.0", "++1", "１", "1e3"))
 
 
-def test_rejects_edges(spark, rows):
+@pytest.mark.parametrize("most", [512, 0])
+def test_rejects_edges(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(rejects, "MOST_LITERALS", most)
     files = spark.createDataFrame([(1, "p", "quoted_fields", ";", '"', ""), (2, "p", "tabs", None, None, ""), (3, "p", "other", ",", '"', "")], CSV_FILES)
     long = "x" * 300_000
     rec = [
