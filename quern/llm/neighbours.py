@@ -24,11 +24,13 @@ from quern.plans.scratch import cut
 from quern.plans.sizing import sized_join
 
 #: Points per shard aimed at, and most shards; beyond them shards grow (a graph search grows with the logarithm).
-SHARD_POINTS, MOST_SHARDS = 1000, 4096
-#: Sample per shard on which centres are trained (at most SHARD_SAMPLE * MOST_SHARDS points reach the driver).
-SHARD_SAMPLE, TRAIN_ROUNDS = 32, 8
+SHARD_POINTS, MOST_SHARDS = 16_384, 1024
+#: Points and queries that one group of a shard holds at most, as far as the sample foretells; a shard with more is split.
+GROUP_POINTS, GROUP_QUERIES = 65_536, 524_288
+#: Sample per shard on which centres are trained (at most 1.1 * SHARD_SAMPLE * MOST_SHARDS points reach the driver, 37 MB of 64 numbers), and what a step of the training holds.
+SHARD_SAMPLE, TRAIN_ROUNDS, TRAIN_ROWS = 128, 8, 4096
 #: Shards searched per point, and width of the beam.
-PROBES, BEAM = 16, 64
+PROBES, BEAM = 4, 128
 #: Similarities that agree in so many decimals are equal.
 DECIMALS = 12
 #: More than float32 can be off in an inner product of unit vectors (64 numbers): what lies so far below a similarity is less.
@@ -51,6 +53,11 @@ def _unit(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, raw / np.linalg.norm(raw, axis=1, keepdims=True) if len(raw) else raw
 
 
+def _nearest_centre(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the most similar centre of each row, some rows at a time: the matrix of all similarities is never there as a whole."""
+    return np.concatenate([(sample[i : i + TRAIN_ROWS] @ centres.T).argmax(1) for i in range(0, len(sample), TRAIN_ROWS)])
+
+
 def train_centres(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
     """Unit centres of `sample` by spherical k-means; a centre that holds more than twice its part is split in two."""
     rng = np.random.default_rng(seed)
@@ -58,9 +65,11 @@ def train_centres(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
         return sample.copy()
     centres = sample[rng.choice(len(sample), count, replace=False)].copy()
     for _ in range(TRAIN_ROUNDS):
-        near = (sample @ centres.T).argmax(1)
+        near = _nearest_centre(sample, centres)
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.diff(near[order], prepend=-1))
         sums = np.zeros_like(centres)
-        np.add.at(sums, near, sample)
+        sums[near[order][first]] = np.add.reduceat(sample[order], first, axis=0)
         norm = np.linalg.norm(sums, axis=1)
         empty = norm < 1e-12
         sums[~empty] /= norm[~empty, None]
@@ -68,7 +77,7 @@ def train_centres(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
         centres = sums
     most = 2.0 * len(sample) / count
     for _ in range(12):
-        near = (sample @ centres.T).argmax(1)
+        near = _nearest_centre(sample, centres)
         size = np.bincount(near, minlength=len(centres))
         crowded = np.flatnonzero(size > most)
         if not len(crowded):
@@ -89,26 +98,55 @@ def train_centres(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def _routes(points: DataFrame, centres: np.ndarray, length: int, probes: int) -> DataFrame:
-    """shard, point, vec, home: each point once in its home shard and as a query in its nearest shards."""
-    shared = points.sparkSession.sparkContext.broadcast(centres)
+class Layout:
+    """Shards and how each of them is split: by points into parts, all of which a query visits, and by queries into shifts, each with all the points."""
+
+    def __init__(self, centres: np.ndarray, points: np.ndarray | None = None, queries: np.ndarray | None = None) -> None:
+        """`points` and `queries` are the numbers expected in each shard."""
+        one = np.ones(len(centres), np.int64)
+        self.centres = centres
+        self.parts = one if points is None else np.maximum(one, -(-points.astype(np.int64) // GROUP_POINTS))
+        self.shifts = one if queries is None else np.maximum(one, -(-queries.astype(np.int64) // GROUP_QUERIES))
+        sizes = self.parts * self.shifts
+        self.start = np.cumsum(sizes) - sizes
+        self.groups = int(sizes.sum())
+
+    def route(self, points: np.ndarray, unit: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, home, query): where each point lies and where it is searched for."""
+        m = min(probes, len(self.centres))
+        s = unit.astype(np.float32) @ self.centres.T
+        near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        row, shard = np.repeat(np.arange(len(points)), m), near.ravel()
+        first = np.tile(np.arange(m) == 0, len(points))
+        # two independent draws of the point's number
+        mixed = points[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part, shift = (mixed >> np.uint64(33)).astype(np.int64) % self.parts[shard], ((mixed >> np.uint64(12)) & np.uint64(0xFFFFF)).astype(np.int64) % self.shifts[shard]
+        if self.groups == len(self.centres):
+            return row, self.start[shard], first, np.ones(len(row), bool)
+        split = self.parts[shard] * self.shifts[shard]
+        copy = np.repeat(np.arange(len(row)), split)
+        number = np.arange(len(copy)) - np.repeat(np.cumsum(split) - split, split)
+        in_part, in_shift = number // self.shifts[shard[copy]], number % self.shifts[shard[copy]]
+        home, query = first[copy] & (in_part == part[copy]), in_shift == shift[copy]
+        keep = home | query
+        return row[copy][keep], (self.start[shard[copy]] + number)[keep], home[keep], query[keep]
+
+
+def _routes(points: DataFrame, layout: Layout, length: int, probes: int) -> DataFrame:
+    """shard, point, vec, home, query: each point in its home shard and as a query in its nearest shards."""
+    shared = points.sparkSession.sparkContext.broadcast(layout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        m = min(probes, len(c))
         for whole in batches:
             # a slice at a time: one similarity matrix is slice x centres
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                _, unit = _unit(b.column(1).to_pylist(), length)
-                s = unit.astype(np.float32) @ c.T
-                near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-                take = pa.array(np.repeat(np.arange(b.num_rows), m))
-                home = np.tile(np.arange(m) == 0, b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(home)], ["shard", "point", "vec", "home"])
+                row, group, home, query = shared.value.route(b.column(0).to_numpy(), _unit(b.column(1).to_pylist(), length)[1], probes)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(home), pa.array(query)], ["shard", "point", "vec", "home", "query"])
 
-    return points.select("point", "vec").mapInArrow(run, "shard int, point long, vec binary, home boolean")
+    return points.select("point", "vec").mapInArrow(run, "shard int, point long, vec binary, home boolean, query boolean")
 
 
 def _floats(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
@@ -143,8 +181,9 @@ def _searcher(length: int, k: int, beam: int):
             own = np.full(len(point), graph.none, np.int64)
             own[base] = np.arange(len(base))
             width = min(max(beam, 2 * k), len(base))
-            for i in range(0, len(point), SEARCH_ROWS):
-                rows = slice(i, i + SEARCH_ROWS)
+            asked = np.flatnonzero(table["query"].to_numpy())
+            for i in range(0, len(asked), SEARCH_ROWS):
+                rows = asked[i : i + SEARCH_ROWS]
                 q = vectors[rows].astype(np.float64)
                 q_norm = np.linalg.norm(q, axis=1)
                 found, rough = graph.search_scored((q / q_norm[:, None]).astype(np.float32), width, own[rows])
@@ -172,6 +211,56 @@ def _searcher(length: int, k: int, beam: int):
     return search
 
 
+def _compared(length: int, k: int):
+    def search(table: pa.Table) -> pa.Table:
+        """The `k` most similar points of one block for each query of another, by comparing all: point, other, sim."""
+        vectors, home, point = _floats(table["vec"], length).astype(np.float64), table["home"].to_numpy(), table["point"].to_numpy()
+        norms = np.linalg.norm(vectors, axis=1)
+        base = np.flatnonzero(home)
+        base = base[np.argsort(point[base])]
+        asked = np.flatnonzero(table["query"].to_numpy())
+        out_q, out_o, out_s = [], [], []
+        for i in range(0, len(asked) if len(base) else 0, 512):
+            q = asked[i : i + 512]
+            rough = (vectors[q] / norms[q, None]) @ (vectors[base] / norms[base, None]).T
+            rough[point[q][:, None] == point[base][None, :]] = -9.0
+            # rounding makes equals of what differs by less; those at the k-th place are all ranked again
+            width = min(k, len(base))
+            least = np.partition(rough, len(base) - width, axis=1)[:, len(base) - width] - 10.0 ** (1 - DECIMALS)
+            r, c = np.nonzero(rough >= np.maximum(least, -2.0)[:, None])
+            sim = _cosines(vectors[q[r]], norms[q[r]], vectors[base[c]], norms[base[c]])
+            order = np.lexsort((point[base[c]], -sim, r))
+            r, c, sim = r[order], c[order], sim[order]
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            best = np.arange(len(r)) - np.repeat(first, np.diff(first, append=len(r))) < k
+            out_q.append(point[q[r[best]]])
+            out_o.append(point[base[c[best]]])
+            out_s.append(sim[best])
+        cat = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0), type=t)
+        return pa.table({"point": cat(out_q, pa.int64()), "other": cat(out_o, pa.int64()), "sim": cat(out_s, pa.float64())})
+
+    return search
+
+
+#: Points per block where all are compared with all.
+BLOCK_POINTS = 8192
+
+
+def compared_points(points: DataFrame, length: int, k: int) -> DataFrame:
+    """point, other, sim of the `k` most similar others in each block, all points compared with all, block by block.
+
+    Exact, for measuring recall and for tables small enough: the work grows with the square of the points.
+    """
+    blocks = max(1, math.ceil(points.count() / BLOCK_POINTS))
+    own = F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    tagged = points.select("point", "vec", own.alias("own"), F.explode(every).alias("other"))
+    # group (a, b): the points of block a, searched for those of block b
+    laid = tagged.select((F.col("own") * blocks + F.col("other")).alias("shard"), "point", "vec", F.lit(True).alias("home"), (F.col("own") == F.col("other")).alias("query"))
+    asked = tagged.where(F.col("own") != F.col("other")).select((F.col("other") * blocks + F.col("own")).alias("shard"), "point", "vec", F.lit(False).alias("home"), F.lit(True).alias("query"))
+    return laid.unionByName(asked).repartition(blocks * blocks, "shard").groupBy("shard").applyInArrow(_compared(length, k), "point long, other long, sim double")
+
+
 def _tie_cells(points: DataFrame, length: int) -> DataFrame:
     """cell, point, vec, home: each point in the cell of its direction (home) and in every further cell that holds directions within TIE_REACH."""
 
@@ -235,40 +324,53 @@ def tied_points(points: DataFrame, length: int, k: int) -> DataFrame:
     return cells.where(F.col("n") > 1).groupBy("cell").applyInArrow(_tied(length, k), "point long, other long, sim double")
 
 
-def point_neighbours(points: DataFrame, length: int, k: int, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
-    """point, near: array of (sim, other), the up to `k` most similar other points, by similarity and then the smaller number.
-
-    `points` holds point (a number) and vec (little-endian float32 bytes), distinct in both, no two of one direction.
-    """
+def searched_points(points: DataFrame, length: int, k: int, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+    """point, other, sim: what the graphs of the nearest shards give for each point, and those at similarity 1."""
     n = points.count()
     count = max(1, min(MOST_SHARDS, math.ceil(n / SHARD_POINTS)))
     part = min(1.0, SHARD_SAMPLE * count * 1.1 / max(n, 1))
     sampled = points.where(F.pmod(F.xxhash64("point"), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else points
-    rows = sampled.select("point", "vec").limit(2 * SHARD_SAMPLE * MOST_SHARDS).collect()
-    rows.sort(key=lambda r: r["point"])
-    if not rows:
-        centres = np.zeros((1, length), np.float32)
+    rows = sampled.select("point", "vec").limit(2 * SHARD_SAMPLE * MOST_SHARDS).toArrow().sort_by("point")
+    if not rows.num_rows:
+        layout = Layout(np.zeros((1, length), np.float32))
     else:
-        centres = train_centres(_unit([bytes(r["vec"]) for r in rows], length)[1].astype(np.float32), count)
-    routed = _routes(points, centres, length, probes)
-    # one shard is a task's work, so the exchange gets a partition per shard; small ones are not merged
-    placed = routed.repartition(max(len(centres), 1), "shard")
-    found = placed.groupBy("shard").applyInArrow(_searcher(length, k, beam), "point long, other long, sim double")
+        sample = _floats(rows["vec"], length)
+        sample = sample / np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+        centres = train_centres(sample, count)
+        # what the sample foretells for all points
+        here = np.zeros((2, len(centres)))
+        for i in range(0, len(sample), TRAIN_ROWS):
+            s = sample[i : i + TRAIN_ROWS] @ centres.T
+            m = min(probes, len(centres))
+            here[0] += np.bincount(s.argmax(1), minlength=len(centres))
+            here[1] += np.bincount(np.argpartition(-s, m - 1, axis=1)[:, :m].ravel(), minlength=len(centres))
+        layout = Layout(centres, *np.ceil(here * n / len(sample)))
+    routed = _routes(points, layout, length, probes)
+    # one group is a task's work, so the exchange gets a partition per group; small ones are not merged
+    found = routed.repartition(max(layout.groups, 1), "shard").groupBy("shard").applyInArrow(_searcher(length, k, beam), "point long, other long, sim double")
     # those at similarity 1 go by their number alone, so they are not left to the beam, which holds any of them
-    found = found.unionByName(tied_points(points, length, k))
-    # at most probes * k candidates per point, and k of each of its few cells
+    return found.unionByName(tied_points(points, length, k))
+
+
+def point_neighbours(points: DataFrame, length: int, k: int, probes: int = PROBES, beam: int = BEAM, exact: bool = False) -> DataFrame:
+    """point, near: array of (sim, other), the up to `k` most similar other points, by similarity and then the smaller number.
+
+    `points` holds point (a number) and vec (little-endian float32 bytes), distinct in both, no two of one direction.
+    """
+    found = compared_points(points, length, k) if exact else searched_points(points, length, k, probes, beam)
+    # at most k candidates per point of each group it was searched in, and k of each of its few cells
     best = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("sim")).alias("away"), F.col("other"))))), 1, k)
     return found.groupBy("point").agg(best.alias("b")).select("point", F.transform("b", lambda x: F.struct((-x["away"]).alias("sim"), x["other"].alias("other"))).alias("near"))
 
 
-def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embedding", k: int = 5, length: int = 64, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embedding", k: int = 5, length: int = 64, probes: int = PROBES, beam: int = BEAM, exact: bool = False) -> DataFrame:
     """(`key`_1, `key`_2), smaller first: at least one is among the `k` most similar of the other by cosine.
 
     Equal similarities go to the smaller key. Rows whose vector is null, of another length, all zero
     or not finite take no part; a row delivered twice counts once. Vectors of exactly one direction form
     one class: its members are each other's nearest and equally similar to all others, so of any class only
     the `k` + 1 smallest keys can ever be neighbours, and a hot class costs no more than its rows.
-    Approximate: see the README for recall.
+    Approximate: see the README for recall. With `exact` all directions are compared with all instead.
     """
     rows = _classed(clean_vectors(df, key, vector, length), key, length)
     # ranks beyond k + 1 are cut before the exchange (window group limit), so a hot class does not pile up
@@ -276,7 +378,7 @@ def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embeddin
     low = cut(rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select(key, "c1", "c2", "r", F.when(F.col("r") == 1, F.col("vec")).alias("vec")))
     packed = low.where(F.col("r") == 1).select(F.col(key).cast("long").alias("point"), "vec")
     # the search's result (k numbers a point) is kept in the shared folder: measuring and joining it must not search again
-    near = cut(point_neighbours(packed, length, k, probes, beam))
+    near = cut(point_neighbours(packed, length, k, probes, beam, exact))
     # the smallest members of each class, under the number of its point (the smallest of all)
     members = low.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(key)).alias("ids")).withColumn("point", F.col("ids")[0])
     flat = near.select("point", F.inline("near"))

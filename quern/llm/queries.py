@@ -62,4 +62,12 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_canonical)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # every pair is compared
+    "p6_found": """
+        with v as (select distinct pair_id, embedding::double[] as e from prompt_embeddings where len(embedding) = 64
+            and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+        s as (select a.pair_id as x, b.pair_id as y, round(list_cosine_similarity(a.e, b.e), 12) as sim from v a join v b on a.pair_id <> b.pair_id),
+        r as (select x, y from (select x, y, row_number() over (partition by x order by sim desc, y) as k from s) where k <= 5)
+        select distinct least(x, y) as pair_id_1, greatest(x, y) as pair_id_2 from r""",
+}

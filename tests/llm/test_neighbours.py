@@ -110,3 +110,60 @@ def test_directions_tell_multiples():
     assert not (d == N.directions(w)).all(1).any() and not (d == N.directions(-v)).all(1).any()
     small = np.array([[3, -6, 1, 0.0]], np.float32)
     assert (N.directions(small) == N.directions(small * 7)).all()
+
+
+def test_training_holds_only_a_slice_of_all_similarities(monkeypatch):
+    seen = []
+    real = N._nearest_centre
+
+    def watched(sample, centres):
+        seen.append(min(len(sample), N.TRAIN_ROWS) * len(centres) * 4)
+        return real(sample, centres)
+
+    monkeypatch.setattr(N, "_nearest_centre", watched)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(N.train_centres(x, 150)) >= 150 and max(seen) <= N.TRAIN_ROWS * 4 * 300
+    # by calculation, at the most shards that there can be: the sample, its sums and one slice of similarities
+    points = 1.1 * N.SHARD_SAMPLE * N.MOST_SHARDS
+    assert points * 64 * 4 * 3 + N.TRAIN_ROWS * 2 * N.MOST_SHARDS * 4 * 2 < 300e6
+
+
+def test_split_shards_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(500, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    monkeypatch.setattr(N, "GROUP_POINTS", 60)
+    monkeypatch.setattr(N, "GROUP_QUERIES", 90)
+    layout = N.Layout(unit[:4].astype(np.float32), np.array([200, 30, 150, 100]), np.array([300, 100, 20, 200]))
+    assert layout.groups == 4 * 4 + 1 * 2 + 3 * 1 + 2 * 3
+    points = np.arange(500) * 7
+    row, group, home, query = layout.route(points, unit, 2)
+    s = unit.astype(np.float32) @ layout.centres.T
+    near = np.argsort(-s, axis=1)[:, :2]
+    for i in range(500):
+        mine = row == i
+        # as a point in every shift of one part of its home, as a query in one shift of every part of both shards
+        assert home[mine].sum() == layout.shifts[near[i, 0]] and query[mine].sum() == layout.parts[near[i]].sum()
+    plain = N.Layout(unit[:4].astype(np.float32)).route(points, unit, 2)
+    assert len(plain[0]) == 1000 and plain[2].sum() == 500 and plain[3].all()
+
+
+def test_split_shards_and_exact_mode_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(size=(400, 64)), 2))] + [(1000 + i, [float(2 * x) for x in np.eye(64)[3]]) for i in range(9)]
+    df = spark.createDataFrame(rows, "pair_id long, embedding array<float>")
+    want = {tuple(r) for r in N.neighbour_pairs(df, exact=True).collect()}
+    x = {k: np.asarray(v, np.float32).astype(float) for k, v in rows}
+    brute = set()
+    for a, v in x.items():
+        sims = sorted((-round(float(v @ w) / float(np.linalg.norm(v) * np.linalg.norm(w)), 12), b) for b, w in x.items() if b != a)[:5]
+        brute |= {(min(a, b), max(a, b)) for _, b in sims}
+    assert want == brute
+    monkeypatch.setattr(N, "BLOCK_POINTS", 150)
+    assert {tuple(r) for r in N.neighbour_pairs(df, exact=True).collect()} == brute
+    monkeypatch.setattr(N, "GROUP_POINTS", 150)
+    monkeypatch.setattr(N, "GROUP_QUERIES", 100)
+    got = {tuple(r) for r in N.neighbour_pairs(df).collect()}
+    assert len(got & brute) >= 0.99 * len(brute)
