@@ -24,11 +24,13 @@ from quern.plans.scratch import cut
 from quern.plans.sizing import sized_join
 
 #: Points per shard aimed at, and most shards; beyond them shards grow (a graph search grows with the logarithm).
-SHARD_POINTS, MOST_SHARDS = 16_384, 1024
+SHARD_POINTS, MOST_SHARDS = 8_192, 2048
 #: Points and queries that one group of a shard holds at most, as far as the sample foretells; a shard with more is split.
 GROUP_POINTS, GROUP_QUERIES = 65_536, 524_288
 #: Sample per shard on which centres are trained (at most 1.1 * SHARD_SAMPLE * MOST_SHARDS points reach the driver, 37 MB of 64 numbers), and what a step of the training holds.
-SHARD_SAMPLE, TRAIN_ROUNDS, TRAIN_ROWS = 128, 8, 4096
+SHARD_SAMPLE, TRAIN_ROUNDS, TRAIN_ROWS = 64, 8, 4096
+#: A centre with more than so many times its part of the sample is split in two.
+CROWDED = 1.5
 #: Shards searched per point, and width of the beam.
 PROBES, BEAM = 4, 128
 #: Similarities that agree in so many decimals are equal.
@@ -59,7 +61,7 @@ def _nearest_centre(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def train_centres(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
-    """Unit centres of `sample` by spherical k-means; a centre that holds more than twice its part is split in two."""
+    """Unit centres of `sample` by spherical k-means; a centre that holds more than CROWDED times its part is split in two."""
     rng = np.random.default_rng(seed)
     if len(sample) <= count:
         return sample.copy()
@@ -75,7 +77,7 @@ def train_centres(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
         sums[~empty] /= norm[~empty, None]
         sums[empty] = sample[rng.choice(len(sample), int(empty.sum()))]
         centres = sums
-    most = 2.0 * len(sample) / count
+    most = CROWDED * len(sample) / count
     for _ in range(12):
         near = _nearest_centre(sample, centres)
         size = np.bincount(near, minlength=len(centres))
