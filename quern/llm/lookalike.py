@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.plans.scratch import cut
+from quern.plans.sizing import sized_join
 
 # Letters of other scripts that are drawn like a Latin one.
 CYRILLIC = {
@@ -31,11 +32,16 @@ CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
 }
 GREEK = {
-    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "α": "a", "υ": "u", "τ": "t", "κ": "k",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
-ARMENIAN = {"օ": "o", "Օ": "O", "Տ": "S"}
-LATIN = {"ɡ": "g", "ɑ": "a"}
+ARMENIAN = {"օ": "o", "Օ": "O", "Տ": "S", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Լ": "L", "Ս": "U"}
+CHEROKEE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮢ": "R", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B",
+}
+# small capitals of letters whose capital is drawn like the small letter
+LATIN = {"ɡ": "g", "ɑ": "a", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z"}
 
 # Characters that are not drawn at all (besides the joiners, which the context decides).
 IGNORABLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0e\ufeff\uffa0\U000e0000-\U000e0fff"
@@ -56,7 +62,7 @@ def _table() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
     """(class of each letter, members of each class with the Latin one first)."""
     of: dict[str, str] = {}
     members: dict[str, list[str]] = {}
-    for group in (LATIN, CYRILLIC, GREEK, ARMENIAN):
+    for group in (LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE):
         for ch, latin in group.items():
             of[ch] = of[latin] = latin
             members.setdefault(latin, [latin])
@@ -101,6 +107,19 @@ def _folds() -> dict[int, str]:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _odd() -> re.Pattern:
+    """Anything that folding drops or changes; a text without it only has its accents decomposed."""
+    points = sorted(_folds())
+    ranges, start = [], None
+    for i, o in enumerate(points):
+        start = o if start is None else start
+        if i + 1 == len(points) or points[i + 1] != o + 1:
+            ranges.append(f"\\U{start:08x}-\\U{o:08x}")
+            start = None
+    return re.compile(f"[{IGNORABLE}\u200c\u200d\ufe0f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\r\u0085\u2028\u2029{''.join(ranges)}]")
+
+
 def _joiner(m: re.Match) -> str:
     """A joiner stays where it shows: between letters of joining scripts or pictures; the picture style stays on pictures."""
     s, i = m.string, m.start()
@@ -120,9 +139,10 @@ def fold(text: str) -> str:
     """The text without what cannot be seen, in plain forms, accents decomposed (NFD)."""
     if text.isascii():
         return _LINE.sub("\n", text) if "\r" in text else text
-    text = _DROP.sub("", text)
-    text = _JOIN.sub(_joiner, text)
-    text = _SPACE.sub(" ", _LINE.sub("\n", text)).translate(_folds())
+    if _odd().search(text):
+        text = _DROP.sub("", text)
+        text = _JOIN.sub(_joiner, text)
+        text = _SPACE.sub(" ", _LINE.sub("\n", text)).translate(_folds())
     return unicodedata.normalize("NFD", text)
 
 
@@ -136,9 +156,23 @@ def _script(ch: str) -> str:
         return "C"
     if 0x530 <= o < 0x590:
         return "A"
+    if 0x13A0 <= o < 0x1400:
+        return "K"
+    if 0x1D00 <= o < 0x1DC0 or 0xA720 <= o < 0xA800:
+        return "L"
     return "-"
 
 
+_LETTERS_ONLY = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+
+
+def runs_of(folded: str) -> list[str]:
+    """The runs of letters of a folded text, in order."""
+    if folded.isascii():
+        return folded.encode().translate(_LETTERS_ONLY).decode().split()
+    return _RUN.findall(folded)
+
+
 class Spelling:
     """Character-bigram scores per script and the Viterbi search over look-alike lattices."""
 
@@ -190,15 +224,26 @@ class Spelling:
 
     def canonical(self, text: str) -> str:
         """The one form of all texts that look like `text`, accents composed."""
-        folded = _RUN.sub(lambda m: self.spell(m.group()), fold(text))
-        return folded if folded.isascii() else unicodedata.normalize("NFC", folded)
+        return self.canonical_all([text])[0]
+
+    def canonical_all(self, texts: list[str]) -> list[str]:
+        """`canonical` of many texts: each distinct run is spelled once, and only texts that hold a run that changes are put together anew."""
+        folded = [fold(t) for t in texts]
+        runs = [runs_of(f) for f in folded]
+        changed = {w for w in set().union(*runs) if self.spell(w) != w}
+        out = []
+        for f, own in zip(folded, runs):
+            if changed and not changed.isdisjoint(own):
+                f = _RUN.sub(lambda m: self.spell(m.group()), f)
+            out.append(f if f.isascii() else unicodedata.normalize("NFC", f))
+        return out
 
 
 def count_bigrams(texts: Iterator[str]) -> Counter:
     """Bigrams of the runs that are surely of one script: no mixture, and some letter without a look-alike."""
     runs: Counter = Counter()
     for t in texts:
-        runs.update(_RUN.findall(fold(t)))
+        runs.update(runs_of(fold(t)))
     out: Counter = Counter()
     for run, n in runs.items():
         letters = [c for c in run if not "\u0300" <= c <= "\u036f"]
@@ -211,7 +256,7 @@ def count_bigrams(texts: Iterator[str]) -> Counter:
 
 
 def corpus_bigrams(documents: DataFrame, text: str = "text") -> dict[str, int]:
-    """Bigram counts over all documents. At most (letters of four scripts)^2 rows reach the driver."""
+    """Bigram counts over all documents. At most (letters of five scripts)^2 rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -245,35 +290,51 @@ def canonical_texts(documents: DataFrame, key: str = "doc_id", text: str = "text
         spelling = _spelling(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            forms = [None if t is None else spelling.canonical(t) for t in texts]
+            there = [i for i, t in enumerate(texts) if t is not None]
+            forms: list[str | None] = [None] * len(texts)
+            for i, form in zip(there, spelling.canonical_all([texts[i] for i in there])):
+                forms[i] = form
             if not digests:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.string())], names)
                 continue
             seen = [i for i, f in enumerate(forms) if f and not f.isspace()]
-            look = [hashlib.blake2b(forms[i].encode("utf-8", "replace"), digest_size=16).digest() for i in seen]
-            exact = [hashlib.blake2b(texts[i].encode("utf-8", "replace"), digest_size=16).digest() for i in seen]
+            mark = lambda t: hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
+            look = [mark(forms[i]) for i in seen]
+            exact = [k if texts[i] == forms[i] else mark(texts[i]) for i, k in zip(seen, look)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(seen, pa.int64())), pa.array(look, pa.binary()), pa.array(exact, pa.binary())], names)
 
     return documents.select(key, text).mapInArrow(run, result)
 
 
-def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(`key`_1, `key`_2), smaller first: two rows whose texts look the same but are not the same string.
+def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose text has another spelling somewhere: `key`, class_id, spelling_id, spellings, look and exact.
 
-    Null, empty and blank texts take no part. Exact copies of one text are never compared with each
-    other: the distinct spellings of a look are paired first (few, however many rows share them),
-    and only those pairs are widened to rows, so the work follows the size of the result even where
-    one text holds a third of all rows. Repeated rows of one key count once.
+    A class is all rows that look the same, named by its smallest key; `spelling_id` is the smallest
+    key of the rows with exactly this text, `spellings` how many there are in the class. One row per
+    row however many rows a class has; null, empty and blank texts take no part, repeated rows of one
+    key count once.
     """
     # 48 bytes a row, written once to the shared folder: the texts are read and spelled a single time
     rows = cut(canonical_texts(documents, key, text, digests=True).distinct())
-    spellings = rows.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"))
-    varied = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("look")
-    kept = rows.join(varied, "look", "left_semi")
-    forms = kept.select("look", "exact").distinct()
-    a, b = forms.select("look", F.col("exact").alias("e1")), forms.select("look", F.col("exact").alias("e2"))
-    pairs = a.join(b, "look").where(F.col("e1") < F.col("e2"))
-    first = kept.select("look", F.col("exact").alias("e1"), F.col(key).alias("k1"))
-    second = kept.select("look", F.col("exact").alias("e2"), F.col(key).alias("k2"))
-    wide = pairs.join(first, ["look", "e1"]).join(second, ["look", "e2"]).where(F.col("k1") != F.col("k2"))
+    spellings = rows.groupBy("look", "exact").agg(F.min(key).alias("spelling_id"))
+    classes = spellings.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count(F.lit(1)).alias("spellings")).where(F.col("spellings") > 1)
+    # a class that holds a third of all rows is split by adaptive execution: both joins have it on their big side only
+    known = spellings.join(classes, "look")
+    return sized_join(rows, known, ["look", "exact"]).select(key, "class_id", "spelling_id", "spellings", "look", "exact")
+
+
+def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(`key`_1, `key`_2), smaller first: two rows whose texts look the same but are not the same string.
+
+    The classes of `look_alike_classes` written out as pairs. Exact copies of one text are never
+    compared with each other: the distinct spellings of a look are paired first (few, however many
+    rows share them), and only those pairs are widened to rows, so the work follows the size of the
+    result even where one text holds a third of all rows.
+    """
+    kept = cut(look_alike_classes(documents, key, text).select(key, "class_id", "spelling_id"))
+    forms = kept.select("class_id", "spelling_id").distinct()
+    pairs = forms.select("class_id", F.col("spelling_id").alias("s1")).join(forms.select("class_id", F.col("spelling_id").alias("s2")), "class_id").where(F.col("s1") < F.col("s2")).select("s1", "s2")
+    first = kept.select(F.col("spelling_id").alias("s1"), F.col(key).alias("k1"))
+    second = kept.select(F.col("spelling_id").alias("s2"), F.col(key).alias("k2"))
+    wide = pairs.join(first, "s1").join(second, "s2").where(F.col("k1") != F.col("k2"))
     return wide.select(F.least("k1", "k2").alias(f"{key}_1"), F.greatest("k1", "k2").alias(f"{key}_2")).distinct()

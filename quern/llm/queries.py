@@ -57,11 +57,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_classes(table(spark, d, "documents")).select("doc_id", "class_id", "spelling_id", "spellings")
+
+
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_classes, p9_canonical)}
 ORACLE: dict[str, str] = {
     # every pair is compared
     "p6_found": """

@@ -68,3 +68,41 @@ def test_hot_text_is_not_paired_with_itself(spark):
 
 def test_long_text(spelling):
     assert spelling.canonical("а" * 100_000) == spelling.canonical("a" * 100_000)
+
+
+@pytest.mark.parametrize("a,b", [("data", "dαtα"), ("value", "valυe"), ("table", "τable"), ("none", "ոone"), ("Ace", "Ꭺce"), ("option", "ᴏption"), ("SVG", "ЅѴG")])
+def test_other_scripts(spelling, a, b):
+    assert spelling.canonical(a) == spelling.canonical(b)
+
+
+@pytest.mark.parametrize("a,b", [("file", "fıle"), ("bold", "𝐛old"), ("Ace", "ace"), ("café", "cafe"), ("x2", "x²")])
+def test_visible_differences_stay(spelling, a, b):
+    assert spelling.canonical(a) != spelling.canonical(b)
+
+
+def test_many_at_once_are_as_one_by_one(spelling):
+    texts = ["plain words", "сор and cop", "сор", "caf́e​", "ａｂｃ d", "", "Привет, мир", "日本語 text", "a\r\nb", "ﬁle ‑ x"]
+    assert spelling.canonical_all(texts) == [spelling.canonical(t) for t in texts]
+
+
+def test_folding_is_the_same_where_nothing_is_odd():
+    import unicodedata
+
+    from quern.llm import lookalike as L
+
+    for o in [*range(0x20, 0x3000), *range(0xA000, 0xA100), *range(0xF900, 0x10000)]:
+        t = f"x{chr(o)}y"
+        if 0xD800 <= o < 0xE000:
+            continue
+        if not L._odd().search(t):
+            slow = L._SPACE.sub(" ", L._LINE.sub("\n", L._JOIN.sub(L._joiner, L._DROP.sub("", t)))).translate(L._folds())
+            assert slow == t and L.fold(t) == unicodedata.normalize("NFD", t)
+
+
+def test_classes(spark, rows):
+    docs = spark.createDataFrame([(5, "cop a"), (3, "сop a"), (9, "cop a"), (2, "other"), (8, "other"), (7, None), (6, " "), (3, "сop a")], "doc_id long, text string")
+    from quern.llm import lookalike as L
+
+    got = rows(L.look_alike_classes(docs).drop("look", "exact"))
+    assert got == [(3, 3, 3, 2), (5, 3, 5, 2), (9, 3, 5, 2)]
+    assert L.look_alike_classes(docs.limit(0)).count() == 0
