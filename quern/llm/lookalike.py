@@ -16,7 +16,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -226,26 +226,31 @@ class Spelling:
         """The one form of all texts that look like `text`, accents composed."""
         return self.canonical_all([text])[0]
 
-    def canonical_all(self, texts: list[str]) -> list[str]:
-        """`canonical` of many texts: each distinct run is spelled once, and only texts that hold a run that changes are put together anew."""
+    def canonical_all(self, texts: list[str], respelled: dict[str, str] | None = None) -> list[str]:
+        """`canonical` of many texts; only texts that hold a run that changes are put together anew.
+
+        `respelled` holds every run of the corpus that changes; without it each distinct run is spelled here.
+        """
         folded = [fold(t) for t in texts]
         runs = [runs_of(f) for f in folded]
-        changed = {w for w in set().union(*runs) if self.spell(w) != w}
+        changed = {w: k for w in set().union(*runs) if (k := self.spell(w)) != w} if respelled is None else respelled
         out = []
         for f, own in zip(folded, runs):
-            if changed and not changed.isdisjoint(own):
-                f = _RUN.sub(lambda m: self.spell(m.group()), f)
+            if changed and not changed.keys().isdisjoint(own):
+                f = _RUN.sub(lambda m: changed.get(m.group(), m.group()), f)
             out.append(f if f.isascii() else unicodedata.normalize("NFC", f))
         return out
 
 
-def count_bigrams(texts: Iterator[str]) -> Counter:
-    """Bigrams of the runs that are surely of one script: no mixture, and some letter without a look-alike."""
-    runs: Counter = Counter()
-    for t in texts:
-        runs.update(runs_of(fold(t)))
+def _in_play(run: str) -> bool:
+    """Whether a run has letters of a script with look-alikes; others are spelled as they are and tell no bigrams."""
+    return run.isascii() or any(_script(c) != "-" for c in run)
+
+
+def run_bigrams(runs: Iterable[tuple[str, int]]) -> Counter:
+    """Bigrams of the runs that are surely of one script: no mixture, and some letter without a look-alike. `runs` are (run, times)."""
     out: Counter = Counter()
-    for run, n in runs.items():
+    for run, n in runs:
         letters = [c for c in run if not "\u0300" <= c <= "\u036f"]
         scripts = {_script(c) for c in letters}
         if len(scripts) != 1 or "-" in scripts or all(c in CLASS_OF for c in letters):
@@ -255,20 +260,61 @@ def count_bigrams(texts: Iterator[str]) -> Counter:
     return out
 
 
-def corpus_bigrams(documents: DataFrame, text: str = "text") -> dict[str, int]:
-    """Bigram counts over all documents. At most (letters of five scripts)^2 rows reach the driver."""
+def count_bigrams(texts: Iterator[str]) -> Counter:
+    """`run_bigrams` of the runs of some texts."""
+    runs: Counter = Counter()
+    for t in texts:
+        runs.update(runs_of(fold(t)))
+    return run_bigrams(runs.items())
+
+
+def corpus_runs(documents: DataFrame, text: str = "text") -> DataFrame:
+    """run, n: every distinct run of letters of the corpus that has look-alikes or tells bigrams, and how often it is there; kept in the shared folder."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                if t:
+                    total.update(runs_of(fold(t)))
+            own = [r for r in total if _in_play(r)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([total[r] for r in own], pa.int64())], ["run", "n"])
+
+    return cut(documents.select(text).mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")))
+
+
+def corpus_bigrams(runs: DataFrame) -> dict[str, int]:
+    """Bigram counts over all documents, from `corpus_runs`. At most (letters of five scripts)^2 rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
-            total.update(count_bigrams(t for t in b.column(0).to_pylist() if t))
+            total.update(run_bigrams(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
 
-    counted = documents.select(text).mapInArrow(count, "pair string, n long")
+    counted = runs.mapInArrow(count, "pair string, n long")
     return {r["pair"]: r["n"] for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
+#: Most runs whose spelling changes that are shared with all workers; with more, each worker spells the runs that it meets.
+MOST_RESPELLED = 200_000
+
+
+def respelled_runs(runs: DataFrame, model: tuple) -> dict[str, str] | None:
+    """The runs of the corpus whose best spelling is another one, each searched for once; None if there are more than MOST_RESPELLED."""
+    shared = runs.sparkSession.sparkContext.broadcast(model)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = _spelling(shared.value)
+        for b in batches:
+            pairs = [(r, k) for r in b.column(0).to_pylist() if (k := spelling.spell(r)) != r]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["run", "spelled"])
+
+    rows = runs.select("run").mapInArrow(spell, "run string, spelled string").limit(MOST_RESPELLED + 1).collect()
+    return {r["run"]: r["spelled"] for r in rows} if len(rows) <= MOST_RESPELLED else None
+
+
 @functools.lru_cache(maxsize=2)
 def _spelling(items: tuple[tuple[str, int], ...]) -> Spelling:
     return Spelling(dict(items))
@@ -280,19 +326,21 @@ def canonical_texts(documents: DataFrame, key: str = "doc_id", text: str = "text
     `look` is a 128-bit digest of the canonical form, `exact` one of the text itself; rows whose
     text is null, empty or blank (nothing to see) are left out there.
     """
-    model = tuple(sorted(corpus_bigrams(documents, text).items()))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    runs = corpus_runs(documents, text)
+    model = tuple(sorted(corpus_bigrams(runs).items()))
+    shared = documents.sparkSession.sparkContext.broadcast((model, respelled_runs(runs, model)))
     kind = documents.schema[key].dataType
     names = [key, "look", "exact"] if digests else [key, "canonical"]
     result = T.StructType([T.StructField(key, kind), *[T.StructField(n, T.BinaryType() if digests else T.StringType()) for n in names[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = _spelling(shared.value)
+        model, respelled = shared.value
+        spelling = _spelling(model)
         for b in batches:
             texts = b.column(1).to_pylist()
             there = [i for i, t in enumerate(texts) if t is not None]
             forms: list[str | None] = [None] * len(texts)
-            for i, form in zip(there, spelling.canonical_all([texts[i] for i in there])):
+            for i, form in zip(there, spelling.canonical_all([texts[i] for i in there], respelled)):
                 forms[i] = form
             if not digests:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.string())], names)
