@@ -36,7 +36,6 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
 
-
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     marks = [F.col("source"), F.col("lang"), mixing.topic_of(F.col("repo")).alias("topic")]
@@ -53,6 +52,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixed(spark, d), table(spark, d, "source_targets"))
 
 
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.marginals(_mixed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, d, "documents"))
 
@@ -65,7 +68,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_all_defects, p6_found, p7_ids, p8_mix, p8_shares, p8_marginals, p9_found, p9_classes, p9_canonical)}
 ORACLE: dict[str, str] = {
     # every pair is compared
     "p6_found": """

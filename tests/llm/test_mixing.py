@@ -1,5 +1,7 @@
 """Mixing: shares, limits and edge cases."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -66,3 +68,50 @@ def test_rare_values_keep_their_marginals(spark):
     fit = M.rake(np.array([float(t) for *_, t in cells]), np.array(["ab".index(s) for s, *_ in cells]), np.array([0.7, 0.3]), np.array([3.0, 3.0]), [lang, np.zeros(160, int)])
     assert [got[s, i] for (s, *_), i in zip(cells, lang)] == pytest.approx(list(fit.weights))
     assert len({round(got["b", i], 6) for i in range(80)}) > 64
+
+
+@pytest.mark.parametrize("n,seed", [(60, 1), (700, 2), (5000, 3)])
+def test_every_source_comes_within_one_mean_document(spark, n, seed):
+    rnd = random.Random(seed)
+    docs = [(i, rnd.choice("aaaabbcd"), rnd.choice(["en", "de", None]), rnd.choice("xyz"), int(rnd.paretovariate(1.1) * 20)) for i in range(n)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, lang string, topic string, n_tokens int")
+    shares = {"a": 0.3, "b": 0.3, "c": 0.25, "d": 0.15}
+    limits = {"a": 1, "b": 2, "c": 3, "d": 5}
+    targets = spark.createDataFrame([(s, x, limits[s]) for s, x in shares.items()], "source string, target_share double, max_repeats int")
+    mixed = M.mix(sized, targets)
+    rows = mixed.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(n))
+    assert all(0 <= r["copies"] <= limits[r["source"]] for r in rows)
+    total = sum(r["n_tokens"] * r["copies"] for r in rows)
+    for s, share in shares.items():
+        own = [r for r in rows if r["source"] == s]
+        mean = sum(r["n_tokens"] for r in own) / len(own)
+        assert abs(sum(r["n_tokens"] * r["copies"] for r in own) - share * total) <= mean + 1
+        # the weights themselves meet the target exactly
+        weighted = sum(r["n_tokens"] * r["weight"] for r in rows)
+        assert abs(sum(r["n_tokens"] * r["weight"] for r in own) / weighted - share) < 1e-6
+    report = {r["source"]: r for r in M.shares(mixed, targets).collect()}
+    assert sum(r["limiting"] for r in report.values()) == 1
+    tight = min(shares, key=lambda s: sum(d[4] for d in docs if d[1] == s) * limits[s] / shares[s])
+    assert report[tight]["limiting"]
+    seen = M.marginals(mixed).collect()
+    for kind in ("lang", "topic"):
+        assert all(abs(sum(r[c] for r in seen if r["marginal"] == kind) - 1) < 1e-9 for c in ("target_share", "raked_share", "share"))
+    assert {tuple(r) for r in M.mix(sized.repartition(5), targets).collect()} == {tuple(r) for r in rows}  # the same draw however it is laid out
+
+
+def test_corrections():
+    assert M.corrections(0.0, [(5, 1)], [(5, 1)]) == []
+    assert M.corrections(17.0, [(5, 9), (2, 9)], []) == [(2, 1, 1), (5, 1, 3)]
+    assert M.corrections(-9.0, [(1, 3)], [(10, 1)]) == [(1, 1, 1), (10, -1, 1)]
+    assert M.corrections(3.0, [(100, 4)], []) == []
+
+
+def test_contradicting_marginals_are_told():
+    with pytest.warns(UserWarning, match="contradict"):
+        old = M.ROUNDS
+        try:
+            M.ROUNDS = 2
+            M.rake(np.array([9.0, 1.0, 2.0, 8.0]), np.array([0, 0, 1, 1]), np.array([0.9, 0.1]), np.array([5.0, 5.0]), [np.array([0, 1, 0, 1])])
+        finally:
+            M.ROUNDS = old
