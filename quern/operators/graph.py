@@ -1,7 +1,7 @@
 """The version graph as tables: ancestry, common ancestors, tree differences, merges, roll-ups.
 
 An edge table (child, parent) and a manifest (commit_id, path, hash, ...) are all there is; walks
-are rounds of a frontier join, everything else is a join or an aggregate.
+double the length of their hops, everything else is a join or an aggregate.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.plans.scratch import cut
 
-#: Rounds of a walk between two cuts of its lineage.
-CUT_EVERY = 8
+#: Rows that the table of long hops may have at least, and for each edge; with more, walks go on hop by hop.
+HOP_ROWS, HOPS_AN_EDGE = 1 << 20, 8
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
@@ -26,25 +26,49 @@ def first_parent_edges(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("commit_id").alias("child"), p.alias("parent")).where(F.col("parent").isNotNull()).distinct()
 
 
-def ancestors(edges: DataFrame, heads: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def hops(edges: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(a, b, d): all pairs at distance d up to a reach, the reach, and whether there are no farther ones.
+
+    Each round doubles the reach: what lies farther than r is r steps away from something that is at
+    most r away again. Rounds end when nothing new comes or the next one would exceed the bound
+    (HOP_ROWS, or HOPS_AN_EDGE rows an edge), so a history of depth D takes about log D of them.
+    """
+    known = cut(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(1).alias("d")).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    total = known.count()
+    most, reach = max(HOP_ROWS, HOPS_AN_EDGE * total), 1
+    while total * 2 <= most:
+        far = known.where(F.col("d") == reach).select("a", F.col("b").alias("__m"))
+        further = far.join(known.select(F.col("a").alias("__m"), "b", "d"), "__m").groupBy("a", "b").agg((F.min("d") + reach).cast("int").alias("d"))
+        fresh = cut(further.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        n = fresh.count()
+        if not n:
+            return known, reach, True
+        known, reach, total = known.unionByName(fresh), 2 * reach, total + n
+    return known, reach, False
+
+
+def ancestors(edges: DataFrame, heads: DataFrame) -> DataFrame:
     """head, commit_id, depth: every commit reachable from each head (itself at depth 0), least depth.
 
-    `heads` holds `head`. Breadth first: each round joins the frontier with the edges and drops what
-    was seen, so cycles end and a commit reached twice counts once, at its least depth. The frontier
-    is cut to the shared folder every few rounds, so a long history does not grow the plan.
+    `heads` holds `head`. The walk takes the longest hops that `hops` has: one join where they reach the
+    end of the history, otherwise one for each reach of depth, from the commits at exactly that depth.
+    What was seen is dropped, so cycles end and a commit reached twice counts once, at its least depth.
+    No history is too long: the walk ends only when nothing new comes.
     """
+    table, reach, complete = hops(edges)
     seen = cut(heads.select("head", F.col("head").alias("commit_id"), F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        step = frontier.join(edges, frontier.commit_id == edges.child).select("head", F.col("parent").alias("commit_id"), F.lit(depth).alias("depth")).distinct()
-        step = cut(step.join(seen.select("head", "commit_id"), ["head", "commit_id"], "left_anti"))
+    frontier, base = seen, 0
+    while True:
+        step = frontier.join(table, F.col("commit_id") == F.col("a")).groupBy("head", F.col("b").alias("commit_id")).agg((F.min("d") + base).cast("int").alias("depth"))
+        step = step.join(seen.select("head", "commit_id"), ["head", "commit_id"], "left_anti")
+        if complete:
+            return seen.unionByName(step)
+        step = cut(step)
         if step.isEmpty():
-            break
-        seen = seen.unionByName(step)
-        if depth % CUT_EVERY == 0:
-            seen = cut(seen)
-        frontier = step
-    return seen
+            return seen
+        # a long walk's parts are put together, so that the plan does not grow
+        seen, base = cut(seen.unionByName(step)), base + reach
+        frontier = step.where(F.col("depth") == base)
 
 
 def roots(commits: DataFrame) -> DataFrame:
@@ -63,6 +87,52 @@ def exclusive(reach: DataFrame, base: str, head: str) -> DataFrame:
     return a.join(reach.where(F.col("head") == base).select("commit_id"), "commit_id", "left_anti")
 
 
+def symmetric(reach: DataFrame, base: str, head: str) -> DataFrame:
+    """commit_id and side (base or head) of commits reachable from one of two commits only; `reach` is `ancestors` of both."""
+    side = lambda a, b, name: exclusive(reach, b, a).select("commit_id", F.lit(name).alias("side"))
+    return side(base, head, "base").union(side(head, base, "head"))
+
+
+def symmetric_many(reach: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`symmetric` of many pairs at once: base, head, commit_id, side."""
+    both = pairs.select("base", "head").distinct()
+    sides = [both.join(reach.select(F.col("head").alias(of), "commit_id"), of).select("base", "head", "commit_id", F.lit(of == "base").alias("b")) for of in ("base", "head")]
+    per = sides[0].union(sides[1]).groupBy("base", "head", "commit_id").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"))
+    return per.where(F.col("n") == 1).select("base", "head", "commit_id", F.when(F.col("b"), "base").otherwise("head").alias("side"))
+
+
+def history(commits: DataFrame, edges: DataFrame, heads: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """head, commit_id, position (from 0): all commits of each head's history, newest first, ids breaking ties.
+
+    `stop` holds head and base: commits that are reachable from a head's base are left out, the base too.
+    """
+    walked = heads.select("head").distinct()
+    if stop is not None:
+        walked = walked.union(stop.select(F.col("base").alias("head"))).distinct()
+    reach = ancestors(edges, walked)
+    own = reach.join(heads.select("head").distinct(), "head", "left_semi").select("head", "commit_id")
+    if stop is not None:
+        reach = cut(reach)
+        own = reach.join(heads.select("head").distinct(), "head", "left_semi").select("head", "commit_id")
+        past = stop.join(reach.select(F.col("head").alias("base"), "commit_id"), "base").select("head", "commit_id")
+        own = own.join(past, ["head", "commit_id"], "left_anti")
+    when = commits.groupBy("commit_id").agg(F.max("committed_at").alias("committed_at"))
+    w = Window.partitionBy("head").orderBy(F.desc_nulls_last("committed_at"), "commit_id")
+    return own.join(when, "commit_id", "left").select("head", "commit_id", (F.row_number().over(w) - 1).alias("position"))
+
+
+def first_parent_page(commits: DataFrame, heads: DataFrame, offset: int, limit: int) -> DataFrame:
+    """head, commit_id, depth: commits `offset` to `offset + limit` of each head's line of first parents, the head itself first."""
+    line = ancestors(first_parent_edges(commits), heads)
+    return line.where((F.col("depth") >= offset) & (F.col("depth") < offset + limit))
+
+
+def fast_forwards(reach: DataFrame, pairs: DataFrame) -> DataFrame:
+    """base, head, fast_forward: whether each base is an ancestor of its head; `reach` holds the heads' ancestors."""
+    found = reach.select("head", F.col("commit_id").alias("base"), F.lit(True).alias("__there"))
+    return pairs.select("base", "head").distinct().join(found, ["base", "head"], "left").select("base", "head", F.coalesce("__there", F.lit(False)).alias("fast_forward"))
+
+
 def common_ancestor(reach: DataFrame, commits: DataFrame, base: str, head: str) -> DataFrame:
     """One row at most: the common ancestor of least depth from `base`; ties go to the newest, then the lowest id."""
     a = reach.where(F.col("head") == base).select("commit_id", "depth")
@@ -161,7 +231,7 @@ def dir_rollup(files: DataFrame, group: str = "commit_id") -> DataFrame:
 
 
 def children(files: DataFrame, folder: str, group: str = "commit_id") -> DataFrame:
-    """`group`, name, is_dir, files, bytes: what lies directly in a folder, folders first."""
+    """`group`, name, is_dir, files, bytes: what lies directly in a folder."""
     prefix = f"{folder.strip('/')}/" if folder.strip("/") else ""
     inside = files.where(F.startswith("path", F.lit(prefix))) if prefix else files
     rest = F.substring("path", len(prefix) + 1, 2**31 - 1)
@@ -169,6 +239,72 @@ def children(files: DataFrame, folder: str, group: str = "commit_id") -> DataFra
     return inside.select(group, name.alias("name"), (F.instr(rest, "/") > 0).alias("is_dir"), "num_bytes").groupBy(group, "name", "is_dir").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("bytes"))
 
 
+def listing(files: DataFrame, folder: str = "", depth: int = 1, group: str = "commit_id") -> DataFrame:
+    """`group`, path, is_dir, depth, files, bytes: files and folders up to `depth` levels below a folder, depth 1 being directly in it."""
+    prefix = f"{folder.strip('/')}/" if folder.strip("/") else ""
+    inside = files.where(F.startswith("path", F.lit(prefix))) if prefix else files
+    parts = F.split(F.substring("path", len(prefix) + 1, 2**31 - 1), "/")
+    levels = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth)))
+    at = F.transform(levels, lambda i: F.struct(F.concat(F.lit(prefix), F.call_function("array_join", F.slice(parts, 1, i), F.lit("/"))).alias("path"), (i < F.size(parts)).alias("is_dir"), i.alias("depth")))
+    long = inside.select(group, F.inline(at), "num_bytes")
+    return long.groupBy(group, "path", "is_dir", "depth").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("bytes"))
+
+
+def entry_order(by: str = "path", reverse: bool = False) -> list[Column]:
+    """Order of a listing: folders first, then by a column (turned round with `reverse`), then by path."""
+    return [F.col("is_dir").desc(), F.col(by).desc_nulls_last() if reverse else F.col(by).asc_nulls_first(), F.col("path").asc()]
+
+
+def paged_listing(entries: DataFrame, number: int, size: int, by: str = "path", reverse: bool = False, group: str = "commit_id") -> DataFrame:
+    """Page `number` (1-based) of each group's listing in `entry_order`, with position (from 0) and pages, how many there are."""
+    w = Window.partitionBy(group).orderBy(*entry_order(by, reverse))
+    placed = entries.withColumns({"position": F.row_number().over(w) - 1, "pages": F.ceil(F.count(F.lit(1)).over(Window.partitionBy(group)) / size).cast("int")})
+    first = (max(1, number) - 1) * size
+    return placed.where((F.col("position") >= first) & (F.col("position") < first + size))
+
+
+def dir_diff(old: DataFrame, new: DataFrame, group: str = "commit_id") -> DataFrame:
+    """`group`, dir, status of folders ('' is the root) whose files differ between two manifests (`group`, path, hash), nested ones included.
+
+    A folder's content is a 128-bit sum over the paths and hashes below it, so no folder's files are ever brought together.
+    """
+
+    def folders(df: DataFrame) -> DataFrame:
+        parts = F.split("path", "/")
+        at = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.call_function("array_join", F.slice(parts, 1, i), F.lit("/")))
+        sums = [F.sum(part).alias(f"s{i}") for i, part in enumerate([half for salt in ("a", "b") for h in [F.xxhash64(F.lit(salt), "path", F.coalesce("hash", F.lit("")), F.col("hash").isNull())] for half in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))])]
+        return df.withColumn("dir", F.explode(at)).groupBy(group, "dir").agg(F.count(F.lit(1)).alias("n"), *sums).select(group, "dir", F.struct("n", "s0", "s1", "s2", "s3").alias("mark"))
+
+    a, b = folders(old).withColumnRenamed("mark", "a"), folders(new).withColumnRenamed("mark", "b")
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified")
+    return a.join(b, [group, "dir"], "full_outer").select(group, "dir", status.alias("status")).where(F.col("status").isNotNull())
+
+
+def uniform_type(files: DataFrame, group: str = "commit_id") -> DataFrame:
+    """`group`, uniform: whether all files are of one kind."""
+    return files.groupBy(group).agg((F.count_distinct(data_type(F.col("path"))) == 1).alias("uniform"))
+
+
+def type_totals(files: DataFrame, group: str) -> DataFrame:
+    """`group`, data_type, files, bytes."""
+    return files.groupBy(group, data_type(F.col("path")).alias("data_type")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("bytes"))
+
+
+def schemas_of(fields: DataFrame, versions: DataFrame) -> DataFrame:
+    """path, file_version, schema: the flat schema (`a:str,b:i64`, by place and name) of each file version asked for.
+
+    `fields` holds path, file_version, field_no, name and dtype; `versions` path and file_version. Of several rows of a field the latest counts.
+    """
+    from quern.operators.drift import type_name
+
+    one = fields.where(F.col("name").isNotNull()).groupBy("path", "file_version", "name").agg(F.max(F.struct("committed_at", "field_no", "dtype")).alias("f"))
+    own = one.join(versions.select("path", "file_version").distinct(), ["path", "file_version"], "left_semi")
+    entry = F.struct(F.col("f.field_no").alias("no"), "name", F.coalesce(type_name(F.col("f.dtype")), F.lit("?")).alias("type"))
+    # a list is bounded by the columns of one version
+    listed = own.groupBy("path", "file_version").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    return listed.select("path", "file_version", F.call_function("array_join", F.transform("x", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), F.lit(",")).alias("schema"))
+
+
 def unreachable(stored: DataFrame, entries: DataFrame, live: DataFrame) -> DataFrame:
     """hash of `stored` that no entry of a live commit uses (mark and sweep)."""
     used = entries.join(live.select("commit_id").distinct(), "commit_id", "left_semi").select("hash")
