@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -62,6 +64,11 @@ class TabularDiff:
         b = duplicated_rows(self.right, self.keys).withColumnRenamed("n_duped_rows", "right")
         return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").select("left", "right")
 
+    def schemas(self) -> dict[str, list[dict]]:
+        """left, right and diff: names and type names of the columns of both tables and of the contents."""
+        of = lambda df: [{"name": f.name, "dtype": to_name(f.dataType, f.metadata)} for f in df.schema.fields]
+        return {"left": of(self.left), "right": of(self.right), "diff": of(self.contents)}
+
     def column_changes(self) -> list[dict]:
         """Added and removed columns with their type names."""
         return [{"name": c, "dtype": to_name(self.right.schema[c].dataType), "status": ADDED} for c in self.schema.added] + [
@@ -69,15 +76,18 @@ class TabularDiff:
         ]
 
 
-def diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), targets: Sequence[str] = (), display: Sequence[str] = (), include_removed: bool = False) -> TabularDiff:
+def diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), targets: Sequence[str] = (), display: Sequence[str] | None = (), include_removed: bool = False, ordered: bool = True) -> TabularDiff:
     """Keyed diff: rows that are only in `right` (added), only in `left` (removed) or differ in a target (modified).
 
     Without keys all common columns are the key and added and removed columns the targets; keys
     without targets compare all other common columns; targets without keys raise. Keys and values
     compare null-safe: null equals null. The result has the keys, each target that `right` has as
     `name.left` and `name.right` (only the side that exists), with `include_removed` also targets
-    that only `left` has, `display` columns of both sides, and the status. Rows of repeated keys
-    meet as in a join, all with all. Rows are ordered by the keys that can be ordered.
+    that only `left` has, `display` columns of both sides (None: all other columns), and the status. Rows
+    of repeated keys meet as in a join, all with all: n and m rows of one key give n * m (tables whose
+    keys may repeat are made distinct first, or compared by `copies.diff_copies`, which takes one row a
+    key). Rows are ordered by the keys that can be ordered, unless `ordered` is false: a result that is
+    only counted or written needs no order.
     """
     s = schema_diff(left, right)
     if targets and not keys:
@@ -93,6 +103,8 @@ def diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), targets: S
     elif not targets:
         targets = [c for c in s.common if c not in keys]
     keys, targets = list(keys), list(targets)
+    if display is None:
+        display = [c for c in [*left.columns, *s.added] if c not in keys and c not in targets]
     if not keys:
         raise DiffError("the tables have no column in common")
     a = left.select(*[_c(c).alias(f"__l{i}") for i, c in enumerate(left.columns)], F.lit(True).alias("__in_l"))
@@ -122,7 +134,7 @@ def diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), targets: S
     out = j.select(*cols, status.alias(STATUS)).where(_c(STATUS) != UNCHANGED)
     nested = (T.ArrayType, T.StructType, T.MapType)
     orderable = [_c(k) for k in keys if not isinstance(out.schema[k].dataType, nested)]
-    return TabularDiff(out.orderBy(*orderable) if orderable else out, s, keys, targets, left, right)
+    return TabularDiff(out.orderBy(*orderable) if orderable and ordered else out, s, keys, targets, left, right)
 
 
 def _missing(rows: DataFrame, other: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -178,11 +190,52 @@ def field_changes(left: DataFrame, right: DataFrame) -> list[dict]:
 CONTEXT_BEFORE, CONTEXT_AFTER = 3, 2
 
 
+#: Lines of both texts together up to which all lines are matched; in longer ones, lines that are there once on either side are anchors and only the gaps between them are matched.
+MATCHED_LINES = 4000
+
+
+def _line_opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Edit steps as of a sequence matcher; cost grows with the lines, not with their square, as long as gaps between anchors are short."""
+    if len(a) + len(b) <= MATCHED_LINES:
+        return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    counts_a, counts_b = Counter(a), Counter(b)
+    at_b = {x: j for j, x in enumerate(b) if counts_b[x] == 1 and counts_a[x] == 1}
+    pairs = [(i, at_b[x]) for i, x in enumerate(a) if x in at_b]
+    # the longest rising row of anchors, by patience sorting
+    tops: list[int] = []
+    top_of: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(tops, j)
+        tops[k : k + 1] = [j]
+        top_of[k : k + 1] = [n]
+        before.append(top_of[k - 1] if k else -1)
+    chain, n = [], top_of[-1] if top_of else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    steps, i, j = [], 0, 0
+    for ai, bj in [*reversed(chain), (len(a), len(b))]:
+        gap_a, gap_b = a[i:ai], b[j:bj]
+        if len(gap_a) + len(gap_b) <= MATCHED_LINES:
+            part = difflib.SequenceMatcher(None, gap_a, gap_b, autojunk=False).get_opcodes()
+        elif not gap_a or not gap_b:
+            part = [("replace", 0, len(gap_a), 0, len(gap_b))]
+        else:
+            # a long gap without anchors: lines that repeat often are no starting points
+            part = difflib.SequenceMatcher(None, gap_a, gap_b, autojunk=True).get_opcodes()
+        steps += [(tag, i + x, i + y, j + u, j + v) for tag, x, y, u, v in part]
+        if ai < len(a):
+            steps.append(("equal", ai, ai + 1, bj, bj + 1))
+        i, j = ai + 1, bj + 1
+    return steps
+
+
 def diff_lines(old: str | None, new: str | None) -> list[tuple[int, str, str]]:
     """(number, change, text) of the lines of a text diff; `...` stands between hunks. Null reads as empty."""
     a, b = (old or "").splitlines(), (new or "").splitlines()
     marked: list[tuple[str, str]] = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for tag, i1, i2, j1, j2 in _line_opcodes(a, b):
         if tag == "equal":
             marked += [(UNCHANGED, x) for x in a[i1:i2]]
         else:

@@ -18,10 +18,12 @@ from quern.functions.filters import apply_filter, column_of
 from quern.functions.types import from_name, typed_literal
 from quern.operators import options as O
 from quern.operators.ordinal import ORDINAL, with_ordinal
+from quern.plans.sizing import sized_join
 
 #: Names of the engine's own columns, never part of a result.
 RESERVED = ("_row_id", "_row_ord", "_row_status", "_row_hash", ORDINAL)
-#: Rows up to which a plain LIMIT is used for a slice's end; take and slice beyond it go by ordinal.
+#: Rows that a slice may skip by OFFSET, which brings all of them to one task; deeper slices go by row number.
+MOST_OFFSET = 100_000
 _ORD = "__pipeline_ord"
 
 
@@ -127,7 +129,7 @@ def reverse_rows(df: DataFrame) -> DataFrame:
 def slice_rows(df: DataFrame, start: int, end: int) -> DataFrame:
     """Rows `start` to before `end` of the present order."""
     n = min(end - start, 2**31 - 1)
-    if start > 2**31 - 1:
+    if start > MOST_OFFSET:
         return df.limit(0) if start >= 2**62 else _between(df, start, end)
     return df.offset(start).limit(n) if start else df.limit(n)
 
@@ -149,10 +151,9 @@ def take_rows(df: DataFrame, rows: Sequence[int], order: Sequence[Column | str]
     total = df.count()
     if wrong := [r for r in rows if r >= total]:
         raise O.OptionError(f"row {wrong[0]} of {total}")
-    # the wanted numbers come from the option text, so their side of the join is small by nature
     want = df.sparkSession.createDataFrame([(i, r) for i, r in enumerate(rows)], f"__pos long, {_ORD} long")
     picked = numbered.where(F.col(_ORD).isin(sorted(set(rows)))) if len(rows) <= 1000 else numbered
-    return picked.join(F.broadcast(want), _ORD).orderBy("__pos").drop(_ORD, "__pos")
+    return sized_join(picked, want, _ORD).orderBy("__pos").drop(_ORD, "__pos")
 
 
 def item(df: DataFrame, name: str, row: int) -> DataFrame:

@@ -101,7 +101,45 @@ found as (select coalesce(n.commit_id, o.commit_id) commit_id, coalesce(n.path,
   where o.commit_id is null or n.commit_id is null or n.h is distinct from o.h)
 """
 
+_P2 = """
+with f as (select path, file_version as v, name, case dtype when 'int64' then 'i64' when 'int32' then 'i32' when 'float64' then 'f64' when 'string' then 'str' when 'boolean' then 'bool' else coalesce(dtype, '?') end as t
+  from (select *, row_number() over (partition by path, file_version, name order by committed_at desc nulls last, field_no desc nulls last, dtype desc nulls last) as k from schema_fields where path is not null and file_version is not null and name is not null) where k = 1),
+st as (select path, v, lag(v) over (partition by path order by v) as ov from (select distinct path, v from f)),
+n as (select st.path, st.v, f.name, f.t from st join f on f.path = st.path and f.v = st.v where ov is not null),
+o as (select st.path, st.v, f.name, f.t from st join f on f.path = st.path and f.v = st.ov),
+j as (select coalesce(n.path, o.path) as path, coalesce(n.v, o.v) as v, coalesce(n.name, o.name) as name, o.t as ot, n.t as nt from n full join o on n.path = o.path and n.v = o.v and n.name = o.name),
+r as (select distinct path, file_version as v, row_key, record from frame_records),
+c as (select st.path, st.v, a.record as nr, b.record as orr from st join r a on a.path = st.path and a.v = st.v join r b on b.path = st.path and b.v = st.ov and b.row_key = a.row_key),
+same as (select g.path, g.v, g.name as old, h.name as new from j g join j h on g.path = h.path and g.v = h.v and g.nt is null and h.ot is null and g.ot = h.nt
+  where not exists (select 1 from c where c.path = g.path and c.v = g.v and json_extract_string(c.orr, '$."' || g.name || '"') is distinct from json_extract_string(c.nr, '$."' || h.name || '"'))),
+found as (select path, v, new as name, 'renamed' as change from same
+  union all select path, v, name, 'added' from j where ot is null and not exists (select 1 from same s where s.path = j.path and s.v = j.v and s.new = j.name)
+  union all select path, v, name, 'removed' from j where nt is null and not exists (select 1 from same s where s.path = j.path and s.v = j.v and s.old = j.name)
+  union all select path, v, name, 'retyped' from j where ot <> nt)
+select path, v as file_version, name, change from found"""
+
+_P4 = r"""
+with h as (select file_id, max(raw) as raw from csv_records where line_no = 1 group by file_id),
+a as (select f.file_id, layout, coalesce(nullif(quote_char, '')[1], '"') as q, delimiter, case layout when 'quoted_fields' then 'name' when 'tabs' then 'file' end as first, case when starts_with(raw, chr(65279)) then raw[2:] else raw end as head from csv_files f left join h on h.file_id = f.file_id),
+b as (select *, replace(case when ends_with(head, chr(13)) then head[:-2] else head end, q, '') as bare from a),
+d as (select *, coalesce(case when starts_with(bare, first) then nullif(substring(bare, length(first) + 1, 1), '') end, nullif(delimiter, '')[1], ',') as d from b),
+e as (select file_id, layout, q, case when bare <> '' then length(bare) - length(replace(bare, d, '')) + 1 when layout = 'quoted_fields' then 3 when layout = 'tabs' then 4 else 1 end as w,
+  '\x{' || printf('%x', unicode(d)) || '}' as de, '\x{' || printf('%x', unicode(q)) || '}' as qe from d),
+p as (select *, '(?:' || qe || '[^' || qe || ']*(?:' || qe || qe || '[^' || qe || ']*)*' || qe || '|[^' || de || qe || ']*)' as cell, case layout when 'quoted_fields' then [2] when 'tabs' then [2, 3] else []::int[] end as numbers from e),
+x as (select distinct r.file_id, r.line_no, r.raw, case when ends_with(r.raw, chr(13)) then r.raw[:-2] else r.raw end as body from csv_records r where r.line_no > 1),
+y as (select x.*, p.* exclude (file_id), body is null or p.file_id is null as gone,
+  regexp_full_match(body, '(?s)' || cell || '(?:' || de || cell || ')*') as whole, regexp_full_match(body, '(?s)' || cell || '(?:' || de || cell || '){' || (w - 1) || '}') as fits from x left join p on p.file_id = x.file_id),
+t as (select *, case when fits then list_transform(range(w), lambda i: regexp_extract(body, '^(?s)(?:' || cell || de || '){' || i || '}(' || cell || ')', 1)) end as cells from y),
+u as (select *, list_transform(cells, lambda c: case when starts_with(c, q) then replace(c[2:-2], q || q, q) else c end) as texts from t),
+z as (select *, [i for i in numbers if i < w and not (texts[i + 1] = '' or (regexp_full_match(texts[i + 1], '[+-]?[0-9]+') and try_cast(texts[i + 1] as bigint) is not null))] as wrong from u),
+told as (select *, case when gone then 'column_count' when not whole then 'quoting' when not fits then 'column_count' when len(wrong) > 0 then 'value' end as reason from z)
+"""
+
 ORACLE = {
+    "p2_found": _P2,
+    "p4_found": _P4 + "select file_id, line_no, reason from told where reason is not null",
+    "p4_loaded": _P4 + "select file_id, line_no, texts[1] as text_1, case when w > 1 then texts[2] else '' end as text_2, case when w > 2 then try_cast(nullif(texts[3], '') as bigint) end as number_1, case when w > 3 then try_cast(nullif(texts[4], '') as bigint) end as number_2 from told where reason is null",
+    "p4_broken_field": _P4 + "select file_id, line_no, reason, cast(case when reason = 'value' then wrong[1] + 1 when gone then 1 else 1 + coalesce((select max(k) from unnest(range(1, w + 1)) k(k) where regexp_matches(body, '^(?s)' || cell || '(?:' || de || cell || '){' || (k - 1) || '}(?:' || de || '|\\z)')), 0) end as int) as field_no from told where reason is not null",
     "p1_found": _p1("select diff_id, file, coalesce(label, '') as label, status, field from found"),
     "p1_row_counts": _p1(
         """, k as (select distinct diff_id, file, label, status from found),

@@ -14,6 +14,7 @@ from quern.operators import pipeline as P
 from quern.operators import schema as S
 from quern.operators import sql as Q
 from quern.operators import staged, vectors
+from quern.operators import views as V
 from quern.operators.options import Options
 from quern.operators.ordinal import with_ordinal
 from quern.registry.problems import table
@@ -52,22 +53,22 @@ def _sql(name: str, text: str, tables: list[str], oracle: str | None = None) ->
 
 # --- projection, columns, rows --------------------------------------------------------------------
 
-_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 _pipe("project_columns", "orders", {"columns": "o_totalprice,o_orderkey"}, "select o_totalprice, o_orderkey from orders")
 _pipe("rename_column", "orders", {"rename": "o_orderstatus:status"}, f"select {', '.join(_ORDERS).replace('o_orderstatus', 'o_orderstatus as status')} from orders", _ORDERS)
 _pipe("add_constant_column", "orders", {"add_col": "batch:7:i64", "add_col_at": 1}, f"select {', '.join(_ORDERS)}, cast(7 as bigint) as batch from orders", _ORDERS)
-_pipe("add_row", "nation", {"add_row": "25,NATION_25,0"}, "select n_nationkey, n_name, n_regionkey from nation union all select 25, 'NATION_25', 0")
+_pipe("add_row", "customer", {"add_row": "-1,Nobody,0,1.5,NONE"}, "select * from customer union all select -1, 'Nobody', 0, 1.5, 'NONE'")
 _pipe("add_row_json", "region", {"add_row": '{"r_name": "NOWHERE"}'}, "select r_regionkey, r_name from region union all select null, 'NOWHERE'")
-_pipe("vstack", "nation", {"vstack": ["nation"]}, "select * from nation union all select * from nation")
+_pipe("vstack", "orders", {"vstack": ["orders"]}, "select * from orders union all select * from orders")
 _pipe("pipeline_order", "orders", {"sort": "o_orderkey", "reverse": True, "columns": "o_orderkey,o_totalprice", "rename": "o_totalprice:price", "filter": "o_orderstatus == F", "add_col": "src:a:str", "head": 25},
       "select o_orderkey, o_totalprice as price from orders where o_orderstatus = 'F' order by o_orderkey desc limit 25")
-_add("row_number_column", lambda s, d: with_ordinal(table(s, d, "orders").select("o_orderkey"), order=["o_orderkey"]), "select o_orderkey, row_number() over (order by o_orderkey) - 1 as _row_num from orders")
+_add("row_number_column", lambda s, d: with_ordinal(table(s, d, "orders"), order=["o_orderkey"]), "select *, row_number() over (order by o_orderkey) - 1 as _row_num from orders")
 _add("row_hash_dupes", lambda s, d: P.row_hash(table(s, d, "documents"), ["text"]).groupBy("_row_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")), "select n, count(*) as groups from (select count(*) as n from documents group by text) group by n")
 _add("item_cell", lambda s, d: P.item(table(s, d, "part").orderBy("p_partkey"), "p_name", 12), "select p_name from part order by p_partkey offset 12 limit 1")
 _add("row_by_index", lambda s, d: P.run_pipeline(table(s, d, "part"), Options(sort="p_partkey", row=17)), "select * from part order by p_partkey offset 17 limit 1")
-_add("text_metadata", lambda s, d: table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.char_length("text").cast("long").alias("chars")),
+_add("text_metadata", lambda s, d: V.text_metadata(table(s, d, "documents"), "doc_id", "text"),
      "select doc_id, cast(len(string_split(text, chr(10))) as bigint) as lines, cast(length(text) as bigint) as chars from documents where text is not null")
-_add("table_size", lambda s, d: (lambda df: df.agg(F.lit(len(df.columns)).cast("long").alias("width"), F.count(F.lit(1)).alias("height")))(table(s, d, "lineitem")), "select cast(11 as bigint) as width, count(*) as height from lineitem")
+_add("table_size", lambda s, d: V.table_size(table(s, d, "lineitem")), "select (select count(*) from pragma_table_info('lineitem')) as width, count(*) as height from lineitem")
 
 # --- filters ----------------------------------------------------------------------------------------
 
@@ -87,10 +88,11 @@ _pipe("slice_rows", "orders", {"sort": "o_orderkey", "slice": "100..130"}, f"sel
 _pipe("reverse_page", "orders", {"sort": "o_orderkey", "reverse": True, "page": 1, "page_size": 20}, f"select {', '.join(_ORDERS)} from orders order by o_orderkey desc limit 20", _ORDERS)
 _pipe("head", "events", {"sort": "event_id", "head": 15}, "select * from events order by event_id limit 15")
 _add("tail", lambda s, d: P.tail_rows(table(s, d, "orders").select(*_ORDERS).orderBy("o_orderkey"), 12), f"select {', '.join(_ORDERS)} from orders order by o_orderkey desc limit 12")
-_add("reverse_rows", lambda s, d: P.reverse_rows(table(s, d, "nation").orderBy("n_nationkey")), "select * from nation")
+_add("reverse_rows", lambda s, d: with_ordinal(P.reverse_rows(table(s, d, "orders").orderBy("o_orderkey"))), "select *, row_number() over (order by o_orderkey desc) - 1 as _row_num from orders")
 _add("take_rows", lambda s, d: P.take_rows(table(s, d, "part"), [5, 3, 3, 70], order=["p_partkey"]),
      "with n as (select *, row_number() over (order by p_partkey) - 1 as i from part) select n.* exclude (i) from n join (values (5), (3), (3), (70)) t(i) on n.i = t.i")
-_pipe("randomize", "nation", {"randomize": True, "seed": 4}, "select * from nation")
+# all rows are there, and their order is another one than before
+_add("randomize", lambda s, d: with_ordinal(P.randomize(table(s, d, "orders").orderBy("o_orderkey"), seed=4)).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_orderkey").alias("sum"), (F.count_if(F.col("o_orderkey") == F.col("_row_num") + 1) < F.count(F.lit(1)) / 2).alias("moved")), "select count(*) as rows, count(distinct o_orderkey) as keys, cast(sum(o_orderkey) as bigint) as sum, count(*) > 0 as moved from orders")
 _add("newest_first", lambda s, d: G.newest_first(table(s, d, "commits")),
      "select repo, branch, commit_id, cast(row_number() over (partition by repo, branch order by committed_at desc nulls last, commit_id) as int) as position from (select commit_id, max(repo) repo, max(branch) branch, max(committed_at) committed_at from commits group by commit_id)")
 
@@ -101,7 +103,7 @@ _add("unique_multi", lambda s, d: P.unique(table(s, d, "documents").select("doc_
 _pipe("unique_count", "events", {"unique_count": "event_type"}, "select event_type, count(*) as count from events group by event_type")
 _pipe("unique_count_multi", "documents", {"unique_count": "lang,source"}, "select lang, source, count(*) as count from documents group by lang, source")
 _add("n_duped_rows", lambda s, d: P.duplicated_rows(table(s, d, "documents"), ["text"]), "select cast(coalesce(sum(n), 0) as bigint) as n_duped_rows from (select count(*) n from documents group by text) where n > 1")
-_add("uniform_media_type", lambda s, d: table(s, d, "commit_entries").groupBy("commit_id").agg((F.count_distinct(G.data_type(F.col("path"))) == 1).alias("uniform")).groupBy("uniform").agg(F.count(F.lit(1)).alias("n")), None)
+_add("uniform_media_type", lambda s, d: G.uniform_type(table(s, d, "commit_entries")).groupBy("uniform").agg(F.count(F.lit(1)).alias("n")), None)
 
 
 def _kind_sql(path: str) -> str:
@@ -115,10 +117,10 @@ _add("dir_rollup", lambda s, d: G.dir_rollup(G.latest_entries(table(s, d, "commi
      f"with {_LATEST}, p as (select commit_id, path, num_bytes, string_split(path, '/') a from e), x as (select commit_id, path, num_bytes, array_to_string(a[1:i], '/') as dir from p, unnest(range(0, len(a))) t(i)) select commit_id, dir, {_kind_sql('path')} as data_type, count(*) as files, cast(coalesce(sum(num_bytes), 0) as bigint) as bytes from x group by all")
 _add("dir_children", lambda s, d: G.children(G.latest_entries(table(s, d, "commit_entries")), ""),
      f"with {_LATEST} select commit_id, split_part(path, '/', 1) as name, contains(path, '/') as is_dir, count(*) as files, cast(coalesce(sum(num_bytes), 0) as bigint) as bytes from e group by all")
-_add("repo_stats", lambda s, d: table(s, d, "commit_entries").dropDuplicates().groupBy("repo", G.data_type(F.col("path")).alias("data_type")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("bytes")),
+_add("repo_stats", lambda s, d: G.type_totals(table(s, d, "commit_entries").dropDuplicates(), "repo"),
      f"select repo, {_kind_sql('path')} as data_type, count(*) as files, cast(coalesce(sum(num_bytes), 0) as bigint) as bytes from (select distinct * from commit_entries) group by all")
 _add("bucket_sizes", lambda s, d: G.bucketed(G.latest_entries(table(s, d, "commit_entries")), 16).groupBy("commit_id").agg(F.count(F.lit(1)).alias("files"), (F.max("bucket") < F.ceil(F.count(F.lit(1)) / 16)).alias("in_range")),
-     f"with {_LATEST} select commit_id, count(*) as files, true as in_range from e group by commit_id")
+     f"with {_LATEST} select commit_id, count(*) as files, count(*) > 0 as in_range from e group by commit_id")
 _add("missing_hashes", lambda s, d: G.unreachable(G.latest_entries(table(s, d, "commit_entries")), G.latest_entries(table(s, d, "commit_entries")), G.tips(table(s, d, "commits"))),
      f"with {_LATEST}, par as (select distinct unnest(parent_ids) p from commits), tips as (select distinct commit_id from commits where commit_id not in (select p from par where p is not null)), used as (select hash from e where commit_id in (select commit_id from tips)) select distinct hash from e where hash is not null and hash not in (select hash from used where hash is not null)")
 _add("text_chunks", lambda s, d: G.chunks(table(s, d, "documents"), "doc_id", "text", 256).groupBy("digest").agg(F.count(F.lit(1)).alias("n")),
@@ -126,34 +128,39 @@ _add("text_chunks", lambda s, d: G.chunks(table(s, d, "documents"), "doc_id", "t
 
 # --- set operations and diffs ---------------------------------------------------------------------------
 
-_BOX = ["filename", "file", "label", "width", "height", "contributor"]
+_BOX = ["filename", "file", "label", "min_x", "min_y", "width", "height", "contributor", "added_at"]
 _l = lambda s, d: table(s, d, "boxes_left").select(*_BOX)
 _r = lambda s, d: table(s, d, "boxes_right").select(*_BOX)
 _B = ", ".join(_BOX)
 _add("rows_added", lambda s, d: D.rows_added(_l(s, d), _r(s, d)), f"select {_B} from boxes_right except select {_B} from boxes_left")
 _add("rows_removed", lambda s, d: D.rows_removed(_l(s, d), _r(s, d)), f"select {_B} from boxes_left except select {_B} from boxes_right")
 _add("rows_added_common_cols", lambda s, d: D.rows_added(_l(s, d).drop("contributor"), _r(s, d)),
-     f"select distinct {_B} from boxes_right r where not exists (select 1 from boxes_left l where l.filename is not distinct from r.filename and l.file is not distinct from r.file and l.label is not distinct from r.label and l.width is not distinct from r.width and l.height is not distinct from r.height)")
+     f"select distinct {_B} from boxes_right r where not exists (select 1 from boxes_left l where l.filename is not distinct from r.filename and l.file is not distinct from r.file and l.label is not distinct from r.label and l.min_x is not distinct from r.min_x and l.min_y is not distinct from r.min_y and l.width is not distinct from r.width and l.height is not distinct from r.height and l.added_at is not distinct from r.added_at)")
 _add("columns_added", lambda s, d: D.columns_added(_l(s, d).drop("contributor"), _r(s, d)), "select contributor from boxes_right")
 _add("schema_diff_columns", lambda s, d: s.createDataFrame(D.field_changes(_l(s, d).drop("height"), _r(s, d).withColumn("width", F.col("width").cast("double"))), "name string, status string, dtype string, previous string"),
-     "select * from (values ('height', 'added', 'i64', null), ('width', 'modified', 'f64', 'i64')) t(name, status, dtype, previous)")
+     "with k as (select column_name as name, case column_type when 'BIGINT' then 'i64' when 'DOUBLE' then 'f64' when 'VARCHAR' then 'str' else 'datetime' end as t from (describe boxes_right)), l as (select * from k where name <> 'height'), r as (select name, case name when 'width' then 'f64' else t end as t from k) "
+     "select coalesce(r.name, l.name) as name, case when l.name is null then 'added' when r.name is null then 'removed' else 'modified' end as status, r.t as dtype, l.t as previous from l full join r on l.name = r.name where l.t is distinct from r.t")
 _add("size_diff", lambda s, d: D.size_diff(_l(s, d), _r(s, d).drop("height")),
      "select greatest((select count(*) from boxes_right) - (select count(*) from boxes_left), 0) as rows_added, greatest((select count(*) from boxes_left) - (select count(*) from boxes_right), 0) as rows_removed, cast(0 as bigint) as columns_added, cast(1 as bigint) as columns_removed")
 _KEYS = ["filename", "file", "label"]
 _SAME = " and ".join(f"l.{k} is not distinct from r.{k}" for k in _KEYS)
-_FULL = f"with l as (select distinct {_B}, true as inl from boxes_left), r as (select distinct {_B}, true as inr from boxes_right), j as (select *, l.width as lw, r.width as rw, l.height as lh, r.height as rh, l.contributor as lc, r.contributor as rc, case when r.inr then r.filename else l.filename end as kf, case when r.inr then r.file else l.file end as kg, case when r.inr then r.label else l.label end as kl from l full join r on {_SAME}), x as (select *, case when inl is null then 'added' when inr is null then 'removed' when lw is distinct from rw or lh is distinct from rh or lc is distinct from rc then 'modified' else 'unchanged' end as st from j)"
+_VALUES = [c for c in _BOX if c not in _KEYS]
+_FULL = (
+    f"with l as (select distinct {_B}, true as inl from boxes_left), r as (select distinct {_B}, true as inr from boxes_right), j as (select inl, inr, {', '.join(f'l.{c} as l_{c}, r.{c} as r_{c}' for c in _VALUES)}, {', '.join(f'case when r.inr then r.{k} else l.{k} end as k_{k}' for k in _KEYS)} from l full join r on {_SAME}), "
+    f"x as (select *, case when inl is null then 'added' when inr is null then 'removed' when {' or '.join(f'l_{c} is distinct from r_{c}' for c in _VALUES)} then 'modified' else 'unchanged' end as st from j)"
+)
 
 
 def _keyed(s: SparkSession, d: str) -> D.TabularDiff:
     return D.diff(_l(s, d).distinct(), _r(s, d).distinct(), _KEYS)
 
 
-_add("diff_keyed", lambda s, d: _keyed(s, d).contents, _FULL + ' select kf as filename, kg as file, kl as label, lw as "width.left", rw as "width.right", lh as "height.left", rh as "height.right", lc as "contributor.left", rc as "contributor.right", st as _diff_status from x where st <> \'unchanged\'')
+_add("diff_keyed", lambda s, d: _keyed(s, d).contents, _FULL + f" select {', '.join(f'k_{k} as {k}' for k in _KEYS)}, " + ", ".join(f'l_{c} as "{c}.left", r_{c} as "{c}.right"' for c in _VALUES) + ", st as _diff_status from x where st <> 'unchanged'")
 _add("diff_keyed_summary", lambda s, d: _keyed(s, d).row_counts(), _FULL + " select count(*) filter (st = 'added') as added, count(*) filter (st = 'removed') as removed, count(*) filter (st = 'modified') as modified from x")
 _add("diff_no_keys", lambda s, d: D.diff(_l(s, d).distinct(), _r(s, d).distinct()).row_counts(),
      f"select (select count(*) from (select {_B} from boxes_right except select {_B} from boxes_left)) as added, (select count(*) from (select {_B} from boxes_left except select {_B} from boxes_right)) as removed, cast(0 as bigint) as modified")
 _add("diff_added_column", lambda s, d: D.diff(_l(s, d).drop("contributor").distinct(), _r(s, d).distinct(), _KEYS, ["contributor"]).row_counts(),
-     f"with l as (select distinct filename, file, label, width, height, true as inl from boxes_left), r as (select distinct {_B}, true as inr from boxes_right), j as (select inl, inr from l full join r on {_SAME}) select count(*) filter (inl is null) as added, count(*) filter (inr is null) as removed, count(*) filter (inl and inr) as modified from j")
+     f"with l as (select distinct {', '.join(c for c in _BOX if c != 'contributor')}, true as inl from boxes_left), r as (select distinct {_B}, true as inr from boxes_right), j as (select inl, inr from l full join r on {_SAME}) select count(*) filter (inl is null) as added, count(*) filter (inr is null) as removed, count(*) filter (inl and inr) as modified from j")
 _add("diff_dupes", lambda s, d: D.diff(_l(s, d), _r(s, d), _KEYS).duplicates(),
      'select (select cast(coalesce(sum(n), 0) as bigint) from (select count(*) n from boxes_left group by filename, file, label) where n > 1) as "left", (select cast(coalesce(sum(n), 0) as bigint) from (select count(*) n from boxes_right group by filename, file, label) where n > 1) as "right"')
 _add("text_diff", lambda s, d: D.text_diff(table(s, d, "llm_fine_tune").select("pair_id", "context", "response"), "pair_id", "context", "response"))
@@ -175,7 +182,7 @@ _add("similarity_topk", lambda s, d: _top(vectors.nearest(_e(s, d), "embedding",
 _add("similarity_by_predicate_mean", lambda s, d: _top(_by_predicate(s, d)), f"with {_MEAN.format(w='label = 3')} {_SIM} limit 10")
 _add("similarity_page2", lambda s, d: _top(vectors.nearest(_e(s, d), "embedding", vectors.mean_vector(_e(s, d), "embedding", "vec_id = 0") or [], 10, 10, ties=["vec_id"])), f"with {_MEAN.format(w='vec_id = 0')} {_SIM} limit 10 offset 10")
 _add("similarity_all", lambda s, d: _top(vectors.similarity_to(_e(s, d), "embedding", vectors.mean_vector(_e(s, d), "embedding") or [])), f"with {_MEAN.format(w='true')} {_SIM}")
-_add("average_embedding", lambda s, d: _e(s, d).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")), "select cast(i - 1 as int) as i, round(avg(x), 6) as mean from (select unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings) group by i")
+_add("average_embedding", lambda s, d: vectors.average_embedding(_e(s, d), "embedding", 6), "select cast(i - 1 as int) as i, round(avg(x), 6) as mean from (select unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings) group by i")
 _add("embedding_index", lambda s, d: vectors.index_column(_e(s, d), "embedding").groupBy(F.size("embedding").alias("length")).agg(F.count(F.lit(1)).alias("n")), "select cast(len(embedding) as int) as length, count(*) as n from embeddings group by 1")
 
 # --- SQL over view df ---------------------------------------------------------------------------------
@@ -192,14 +199,14 @@ _sql("sql_join_inner", "select o_orderkey, c_name, n_name from df join customer
 _sql("sql_join_left", "select c_custkey, o_orderkey from df left join orders on c_custkey = o_custkey", ["customer", "orders"])
 _sql("sql_join_full", "select s_suppkey, c_custkey from df full join customer on s_suppkey = c_custkey and s_nationkey = c_nationkey", ["supplier", "customer"])
 _sql("sql_join_semi", "select c_custkey from df where exists (select 1 from orders where o_custkey = c_custkey)", ["customer", "orders"])
-_sql("sql_join_anti", "select c_custkey from df where not exists (select 1 from orders where o_custkey = c_custkey)", ["customer", "orders"])
-_sql("sql_join_theta", "select a.r_name as a, b.r_name as b from df a join df b on a.r_regionkey < b.r_regionkey", ["region"])
-_sql("sql_join_self", "select a.n_nationkey as a, b.n_nationkey as b from df a join df b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", ["nation"])
+_sql("sql_join_anti", "select c_custkey from df where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)", ["customer", "orders"])
+_sql("sql_join_theta", "select a.c_custkey as a, b.c_custkey as b from df a join df b on a.c_nationkey = b.c_nationkey and a.c_acctbal < b.c_acctbal - 9000", ["customer"])
+_sql("sql_join_self", "select a.o_orderkey as a, b.o_orderkey as b from df a join df b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey", ["orders"])
 _sql("sql_union", "select c_nationkey as k from df union select s_nationkey from supplier", ["customer", "supplier"])
 _sql("sql_union_all", "select c_nationkey as k from df union all select s_nationkey from supplier", ["customer", "supplier"])
 _sql("sql_intersect", "select c_nationkey as k from df intersect select s_nationkey from supplier", ["customer", "supplier"])
 _sql("sql_intersect_all", "select c_nationkey as k from df intersect all select s_nationkey from supplier", ["customer", "supplier"])
-_sql("sql_except", "select c_custkey as k from df except select o_custkey from orders", ["customer", "orders"])
+_sql("sql_except", "select c_custkey as k from df except select o_custkey from orders where o_orderstatus = 'P'", ["customer", "orders"])
 _sql("sql_except_all", "select c_nationkey as k from df except all select s_nationkey from supplier", ["customer", "supplier"])
 _sql("sql_grouping_sets", "select o_orderstatus, o_orderpriority, count(*) as n, grouping(o_orderstatus) as g from df group by grouping sets ((o_orderstatus), (o_orderpriority), ())", ["orders"], "select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderstatus) as tinyint) as g from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
 _sql("sql_cube", "select l_returnflag, l_linestatus, count(*) as n from df group by cube (l_returnflag, l_linestatus)", ["lineitem"])
@@ -213,8 +220,8 @@ _sql("sql_window_frame", "select o_orderkey, round(sum(o_totalprice) over (parti
 _sql("sql_window_filtered", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from df) where k = 1", ["orders"])
 _sql("sql_pricing_summary", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 4) as disc from df group by l_returnflag, l_linestatus", ["lineitem"])
 _add("json_extract_props", lambda s, d: Q.query(table(s, d, "events"), "select event_id, cast(get_json_object(props, '$.k') as bigint) as k from df"), "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
-_add("json_tolerant", lambda s, d: table(s, d, "frame_records").select("path", "file_version", "row_key", F.try_parse_json("record").isNotNull().alias("valid")).groupBy("valid").agg(F.count(F.lit(1)).alias("n")), "select json_valid(record) as valid, count(*) as n from frame_records group by 1")
-_add("export_guard", lambda s, d: Q.export_guard(Q.query(table(s, d, "nation"), "select * from df")), "select * from nation")
+_add("json_tolerant", lambda s, d: V.json_valid(table(s, d, "frame_records"), "record").groupBy("valid").agg(F.count(F.lit(1)).alias("n")), "select json_valid(record) as valid, count(*) as n from frame_records group by 1")
+_add("export_guard", lambda s, d: Q.export_guard(Q.query(table(s, d, "orders"), "select * from df")), "select * from orders")
 
 # --- staged edits ---------------------------------------------------------------------------------------
 
@@ -230,8 +237,8 @@ def _overlay(s: SparkSession, d: str) -> DataFrame:
 _add("append_delete_overlay", _overlay,
      "select s_suppkey, case when s_suppkey = 3 then 'third' else s_name end as s_name, s_nationkey, case when s_suppkey = 3 then null else s_acctbal end as s_acctbal from supplier where s_suppkey <> 4 union all select -1, 'new', null, 1.5")
 _add("batch_update_merge", lambda s, d: staged.batch_update(table(s, d, "orders").select(*_ORDERS), table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.lit("X").alias("o_orderstatus")).join(table(s, d, "orders"), "o_orderkey", "left_semi"), "o_orderkey"),
-     "select o_orderkey, o_custkey, case when o_orderkey in (select l_orderkey from lineitem) then 'X' else o_orderstatus end as o_orderstatus, o_totalprice, o_orderpriority from orders")
-_add("column_retype", lambda s, d: table(s, d, "supplier").withColumn("s_suppkey", F.col("s_suppkey").cast("string")), "select cast(s_suppkey as varchar) as s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+     "select o_orderkey, o_custkey, case when o_orderkey in (select l_orderkey from lineitem) then 'X' else o_orderstatus end as o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
+_add("column_retype", lambda s, d: V.retype_column(table(s, d, "supplier"), "s_suppkey", "str"), "select cast(s_suppkey as varchar) as s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 
 
 def _staged_cycle(s: SparkSession, d: str) -> DataFrame:
@@ -292,13 +299,20 @@ _add("merge_classify", _merge_decisions,
      "x as (select merge_id, path, case when ib = im and bh is not distinct from mh then (case when ib then 'keep' end) when io = ib and oh is not distinct from bh then (case when im then 'take' else 'delete' end) when io = im and oh is not distinct from mh then (case when ib then 'keep' end) else 'conflict' end as decision from j) select * from x where decision is not null")
 _add("path_history", lambda s, d: G.path_history(G.latest_entries(table(s, d, "commit_entries")), G.edges_of(table(s, d, "commits")), table(s, d, "commits")),
      f"with {_EDGES}, {_LATEST} select distinct e.commit_id, e.path from e join edges x on x.child = e.commit_id left join e o on o.commit_id = x.parent and o.path = e.path where o.commit_id is null or o.hash is distinct from e.hash union select e.commit_id, e.path from e where e.commit_id in (select commit_id from commits where coalesce(len(parent_ids), 0) = 0)")
-_add("tree_diff_copies", lambda s, d: G.tree_diff(_files(s, d, "boxes_left"), _files(s, d, "boxes_right")),
-     "with l as (select filename as path, count(distinct file) as hash from boxes_left where filename is not null group by 1), r as (select filename as path, count(distinct file) as hash from boxes_right where filename is not null group by 1) select coalesce(r.path, l.path) as path, case when l.path is null then 'added' when r.path is null then 'removed' else 'modified' end as status from l full join r on l.path = r.path where l.path is null or r.path is null or l.hash <> r.hash")
 
 
 def _files(s: SparkSession, d: str, name: str) -> DataFrame:
-    return table(s, d, name).where(F.col("filename").isNotNull()).groupBy(F.col("filename").alias("path")).agg(F.count_distinct("file").alias("hash"))
+    """Each file name with a hash of its content: the distinct rows under it, in any order."""
+    rows = table(s, d, name).where(F.col("filename").isNotNull()).distinct()
+    marked = P.row_hash(rows, [c for c in rows.columns if c != "filename"], "a")
+    marked = marked.withColumn("b", F.xxhash64(F.lit("second"), *[F.to_json(F.struct(*[c for c in rows.columns if c != "filename"]), {"ignoreNullFields": "false"})]))
+    sums = [F.sum(F.shiftright(c, 32)).cast("string") for c in ("a", "b")] + [F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))).cast("string") for c in ("a", "b")]
+    return marked.groupBy(F.col("filename").alias("path")).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums).alias("hash"))
+
 
+_SET = lambda t: f"select filename as path, list(distinct row(file, label, min_x, min_y, width, height, contributor, added_at) order by row(file, label, min_x, min_y, width, height, contributor, added_at)) as hash from {t} where filename is not null group by 1"
+_add("tree_diff_copies", lambda s, d: G.tree_diff(_files(s, d, "boxes_left"), _files(s, d, "boxes_right")),
+     f"with l as ({_SET('boxes_left')}), r as ({_SET('boxes_right')}) select coalesce(r.path, l.path) as path, case when l.path is null then 'added' when r.path is null then 'removed' else 'modified' end as status from l full join r on l.path = r.path where l.path is null or r.path is null or l.hash is distinct from r.hash")
 
 # --- sources, sinks, streams ------------------------------------------------------------------------------
 
@@ -316,7 +330,7 @@ def _round_trip(ext: str, of: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _ext in ("csv", "tsv", "json", "jsonl", "parquet", "arrow"):
     _add(f"write_read_roundtrip_{_ext}", _round_trip(_ext, "supplier"), "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier" if _ext in ("parquet", "arrow") else "select s_suppkey, s_name, cast(s_nationkey as bigint) as s_nationkey, s_acctbal from supplier")
-_add("json_view", lambda s, d: files.json_view(table(s, d, "region")), "select '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as row from region")
+_add("json_view", lambda s, d: files.json_view(table(s, d, "documents").select("doc_id", "text", "lang", "n_chars")).select(F.get_json_object("row", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("row", "$.text").alias("text"), F.get_json_object("row", "$.lang").alias("lang"), F.json_object_keys("row").alias("keys")), "select doc_id, text, lang, ['doc_id', 'text', 'lang', 'n_chars'] as keys from documents")
 _add("schema_fields_of", lambda s, d: s.createDataFrame([(f["name"], f["dtype"]) for f in S.fields_of(table(s, d, "lineitem"))], "name string, dtype string"),
      "select name, case type when 'BIGINT' then 'i64' when 'INTEGER' then 'i32' when 'DOUBLE' then 'f64' when 'VARCHAR' then 'str' else 'datetime' end as dtype from pragma_table_info('lineitem')")
 _add("event_windows", lambda s, d: reader.windowed_counts(table(s, d, "events"), "ts", "1 hour", "event_type"), "select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
@@ -325,16 +339,13 @@ _add("event_sessions", lambda s, d: reader.sessions(table(s, d, "events"), "ts",
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    """The event windows again, from a stream that runs until its files are used up."""
+    """The event windows again, from a stream that runs until its files are used up; the result lies in files."""
     from quern.plans.scratch import scratch_path
 
-    src = f"{d}/events.parquet"
-    schema = s.read.parquet(src).schema
-    name = "q_" + scratch_path(s, "s").rsplit("-", 1)[1]
-    stream = reader.windowed_counts(s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d), "ts", "1 hour", "event_type")
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch_path(s, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = reader.run_to_files(reader.windowed_counts(events, "ts", "1 hour", "event_type"), scratch_path(s, "stream-out"), scratch_path(s, "stream"), "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 _add("event_windows_streamed", _stream, "select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2")

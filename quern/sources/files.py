@@ -16,6 +16,8 @@ INFER_ROWS: int | None = None
 #: Bytes of a text file that the dialect is guessed from.
 SNIFF_BYTES = 64 << 10
 DELIMITERS = ",\t;|"
+#: What a cell without anything, not even quotes, reads as before it becomes null; an empty cell in quotes is an empty text.
+_ABSENT = "\x00absent\x00"
 
 
 class FormatError(ValueError):
@@ -90,7 +92,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote
     """
     d, q = sniff(_head(spark, path).decode("utf-8", "replace"), delimiter, quote)
     quoted, spanning = _quoting(spark, path, d, q)
-    base = {"header": True, "sep": d, "quote": q if quoted else "", "escape": q if quoted else "\\", "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": spanning}
+    base = {"header": True, "sep": d, "quote": q if quoted else "", "escape": q if quoted else "\\", "mode": "PERMISSIVE", "encoding": "UTF-8", "multiLine": spanning, "nullValue": _ABSENT}
     if schema is None:
         head = spark.read.options(**base).csv(path)
         most = min((n for n in (rows, infer_rows, INFER_ROWS) if n is not None), default=None)
@@ -108,6 +110,8 @@ def _infer(head: DataFrame) -> T.StructType:
     checks = []
     for i, n in enumerate(names):
         c = F.col(f"`{n}`")
+        # an empty cell in quotes tells no type
+        c = F.nullif(c, F.lit(""))
         checks.append(F.count(c).alias(f"n{i}"))
         for k, (sql, _) in enumerate(kinds):
             good = c.try_cast(sql).isNotNull()

@@ -16,6 +16,20 @@ def stream_rows(df: DataFrame, features: Sequence[str] | None = None) -> Iterato
         yield r.asDict(recursive=True)
 
 
+def load_dataset(spark: SparkSession, source: str | Sequence[str], features: Sequence[str] | None = None) -> "StreamingDataset":
+    """Files, or all tables of a folder, by path: csv, tsv, json, jsonl, parquet and arrow. A folder without tables, or paths that are none, raise."""
+    from quern.sources.files import FormatError, _files_of, read_df
+
+    if isinstance(source, str):
+        found = [p for ext in (".csv", ".tsv", ".json", ".jsonl", ".ndjson", ".parquet", ".arrow") for p in _files_of(spark, source, ext)]
+        paths = sorted(set(found))
+    else:
+        paths = list(source)
+    if not paths:
+        raise FormatError(f"there is no table in {source}")
+    return StreamingDataset([read_df(spark, p) for p in paths], features)
+
+
 class StreamingDataset:
     """Several tables of one schema as one sequence of rows, with its length and slices."""
 
@@ -74,3 +88,38 @@ def sessions(events: DataFrame, time: str, user: str, gap: str, late: str = "10
     """`user`, session_start, n: runs of events of a user with no longer pause than `gap`."""
     body = _timed(events, time, late)
     return body.groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("session_start"), "n")
+
+
+def joined_streams(left: DataFrame, right: DataFrame, key: str, time: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Rows of `left` with those of `right` of the same key whose time is not before theirs and at most `within` later; the right side's columns get `_right`.
+
+    On streams both sides forget what is later than `late` and can no longer match.
+    """
+    a = _timed(left, time, late)
+    b = _timed(right.select(*[F.col(f"`{c}`").alias(f"{c}_right") for c in right.columns]), f"{time}_right", late)
+    near = (F.col(f"{time}_right") >= F.col(time)) & (F.col(f"{time}_right") <= F.col(time) + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col(f"{key}_right")) & near)
+
+
+def first_events(events: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
+    """One row per key, whichever comes first; on a stream keys are remembered for as long as `late` allows."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
+    return _timed(events, time, late).dropDuplicatesWithinWatermark([key])
+
+
+def run_to_files(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream until its input is used up and read its result, which stays in files: nothing is gathered in the driver.
+
+    In complete mode every batch replaces the result.
+    """
+    spark = stream.sparkSession
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(folder)
+
+    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    try:
+        return spark.read.parquet(folder)
+    except Exception:  # no batch ever came
+        return spark.createDataFrame([], stream.schema)
