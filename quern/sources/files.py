@@ -235,6 +235,78 @@ def parse_json_rows(spark: SparkSession, text: str, schema: T.StructType | None
     return raw.select(F.from_json("j", schema).alias("r")).select("r.*")
 
 
+def frame_from_view(spark: SparkSession, rows: Sequence[dict], fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """A table from the rows of a JSON view, columns in the order of `fields` (name, type name) and of their types.
+
+    Without rows all columns are text, as nothing tells their values; names that a row lacks are null, others are left out.
+    """
+    import json
+
+    from quern.functions.types import from_name
+
+    if not rows:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n, _ in fields]))
+    schema = T.StructType([T.StructField(n, from_name(t)) for n, t in fields])
+    return parse_json_rows(spark, "\n".join(json.dumps(r, ensure_ascii=True) for r in rows), schema)
+
+
+def cloud_settings(bucket: str, region: str | None = None, endpoint: str | None = None, path_style: bool | None = None) -> dict[str, str]:
+    """Hadoop settings of one S3 bucket, for `use_cloud`: its region and endpoint; an endpoint of its own is spoken to by path unless told otherwise."""
+    if not bucket or "/" in bucket:
+        raise FormatError(f"{bucket!r} is no bucket")
+    own = f"fs.s3a.bucket.{bucket}."
+    out = {}
+    if region:
+        out[own + "endpoint.region"] = region
+    if endpoint:
+        out[own + "endpoint"] = endpoint
+        out[own + "connection.ssl.enabled"] = str(not endpoint.startswith("http://")).lower()
+    if path_style or path_style is None and endpoint:
+        out[own + "path.style.access"] = "true"
+    return out
+
+
+def use_cloud(spark: SparkSession, bucket: str, region: str | None = None, endpoint: str | None = None, path_style: bool | None = None) -> None:
+    """Let `read_df` and `write_df` reach `s3a://bucket/...`; all formats are read there as anywhere, the dialect of a text from its first 64 KiB."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for k, v in cloud_settings(bucket, region, endpoint, path_style).items():
+        conf.set(k, v)
+
+
+def import_zip(spark: SparkSession, archive: str, folder: str) -> list[str]:
+    """Unpack an archive into a folder, entry by entry through streams; returns the paths written, relative to it.
+
+    Entries that would lie outside the folder (absolute, `..`, drive letters) raise before anything is
+    written; folders and the helpers of file managers are left out.
+    """
+    jvm = spark.sparkContext._jvm
+    p, fs = _fs(spark, archive)
+
+    def entries():
+        stream = jvm.java.util.zip.ZipInputStream(fs.open(p))
+        try:
+            while (entry := stream.getNextEntry()) is not None:
+                name = entry.getName().replace("\\", "/")
+                if not entry.isDirectory() and not name.startswith("__MACOSX/") and name.rpartition("/")[2] not in (".DS_Store", "Thumbs.db"):
+                    yield name, stream
+        finally:
+            stream.close()
+
+    names = []
+    for name, _ in entries():
+        if name.startswith("/") or ":" in name or ".." in name.split("/") or not name:
+            raise FormatError(f"{name!r} leads out of the folder")
+        names.append(name)
+    for name, stream in entries():
+        target, to = _fs(spark, f"{folder.rstrip('/')}/{name}")
+        out = to.create(target, True)
+        try:
+            jvm.org.apache.commons.io.IOUtils.copy(stream, out)
+        finally:
+            out.close()
+    return names
+
+
 def listing(spark: SparkSession, folder: str, recursive: bool = True, extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """`file_path` (relative to the folder) of its files, with extra columns (name, type name) of nulls."""
     from quern.functions.types import from_name
