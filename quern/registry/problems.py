@@ -116,7 +116,16 @@ found as (select path, v, new as name, 'renamed' as change from same
   union all select path, v, name, 'added' from j where ot is null and not exists (select 1 from same s where s.path = j.path and s.v = j.v and s.new = j.name)
   union all select path, v, name, 'removed' from j where nt is null and not exists (select 1 from same s where s.path = j.path and s.v = j.v and s.old = j.name)
   union all select path, v, name, 'retyped' from j where ot <> nt)
-select path, v as file_version, name, change from found"""
+"""
+
+# each field of each version follows its renames to the last version that has it
+_P2_COLUMNS = _P2.replace("with f as", "with recursive f as", 1).rstrip() + """,
+walk(path, v0, n0, v, n) as (select path, v, name, v, name from f
+  union all select w.path, w.v0, w.n0, s.v, coalesce(r.new, w.n) from walk w join st s on s.path = w.path and s.ov = w.v left join same r on r.path = w.path and r.v = s.v and r.old = w.n left join f g on g.path = w.path and g.v = s.v and g.name = w.n where r.new is not null or g.name is not null),
+ends as (select path, v0, n0, arg_max(n, v) as col from walk group by path, v0, n0),
+typed as (select e.path, v0, n0, col, t, coalesce(nullif(list_position(['bool', 'i32', 'i64', 'f64', 'str'], t), 0), 5) as k from ends e join f on f.path = e.path and f.v = v0 and f.name = n0),
+kinds as (select path, col, max(k) as hi, bool_or(t = 'bool') as b from typed group by path, col)
+select t.path, v0 as file_version, n0 as name, t.col as "column", case when b and hi > 1 then 'str' else ['bool', 'i32', 'i64', 'f64', 'str'][hi] end as column_type from typed t join kinds on kinds.path = t.path and kinds.col = t.col"""
 
 _P4 = r"""
 with h as (select file_id, max(raw) as raw from csv_records where line_no = 1 group by file_id),
@@ -136,7 +145,8 @@ told as (select *, case when gone then 'column_count' when not whole then 'quoti
 """
 
 ORACLE = {
-    "p2_found": _P2,
+    "p2_found": _P2 + "select path, v as file_version, name, change from found",
+    "p2_columns": _P2_COLUMNS,
     "p4_found": _P4 + "select file_id, line_no, reason from told where reason is not null",
     "p4_loaded": _P4 + "select file_id, line_no, texts[1] as text_1, case when w > 1 then texts[2] else '' end as text_2, case when w > 2 then try_cast(nullif(texts[3], '') as bigint) end as number_1, case when w > 3 then try_cast(nullif(texts[4], '') as bigint) end as number_2 from told where reason is null",
     "p4_broken_field": _P4 + "select file_id, line_no, reason, cast(case when reason = 'value' then wrong[1] + 1 when gone then 1 else 1 + coalesce((select max(k) from unnest(range(1, w + 1)) k(k) where regexp_matches(body, '^(?s)' || cell || '(?:' || de || cell || '){' || (k - 1) || '}(?:' || de || '|\\z)')), 0) end as int) as field_no from told where reason is not null",
