@@ -387,7 +387,8 @@ def neighbour_pairs(df: DataFrame, key: str = "pair_id", vector: str = "embeddin
     others = flat.join(members.select(F.col("point").alias("other"), "ids"), "other").select("point", F.explode(F.transform("ids", lambda i: F.struct((-F.col("sim")).alias("away"), i.alias("id")))).alias("x"))
     own = members.select("point", F.explode(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("away"), i.alias("id")))).alias("x"))
     listed = others.unionByName(own).groupBy("point").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("xs"))
-    by_class = listed.join(members.select("point", "c1", "c2"), "point").select("c1", "c2", "xs")
+    # kept, as it is measured and joined
+    by_class = cut(listed.join(members.select("point", "c1", "c2"), "point").select("c1", "c2", "xs"))
     each = sized_join(rows.select(key, "c1", "c2"), by_class, ["c1", "c2"])
     nearest = F.slice(F.filter("xs", lambda x: x["id"] != F.col(key)), 1, k)
     pairs = each.select(key, F.explode(nearest).alias("x")).select(F.col(key).alias("a"), F.col("x.id").alias("b"))
