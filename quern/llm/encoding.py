@@ -122,9 +122,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(ranks_path: str, lexicon_file: str | None) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(ranks_path, SparkFiles.get(lexicon_file) if lexicon_file else None)
+def _encoder(ranks_file: str, lexicon_file: str | None) -> Encoder:
+    """One encoder per worker process and vocabulary; both files were handed to every executor."""
+    return Encoder(SparkFiles.get(ranks_file), SparkFiles.get(lexicon_file) if lexicon_file else None)
 
 
 def frequent_words(documents: DataFrame, text: str = "text", least: int = LEXICON_LEAST, most: int = LEXICON_WORDS) -> DataFrame:
@@ -162,13 +162,16 @@ def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "tex
     spark = documents.sparkSession
     ranks_path = f"{folder}/{vocabulary}.tiktoken"
     lexicon = build_lexicon(spark, documents, ranks_path, text)
+    # only the driver needs the vocabulary's folder
+    spark.sparkContext.addFile(ranks_path)
+    ranks_file = os.path.basename(ranks_path)
     told = "n_tokens" if lengths else "ids"
     read = documents.select(key, *keep, F.col(text).alias("__text"))
     names = [*read.columns[:-1], told]
     result = T.StructType([*read.schema.fields[:-1], T.StructField(told, T.IntegerType() if lengths else T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks_path, lexicon)
+        enc = _encoder(ranks_file, lexicon)
         for b in batches:
             *kept, texts = b.columns
             ids = [enc.encode(t) for t in texts.to_pylist()]
