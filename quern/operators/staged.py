@@ -11,9 +11,11 @@ creating a file that must not exist, so two writers never get the same one.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,15 +187,32 @@ class StagedTable:
         """The next number that no writer has: a file of its name is created, which only one of several writers can do."""
         folder, fs = self._path("claims")
         fs.mkdirs(folder)
-        taken = [int(s.getPath().getName()) for s in fs.listStatus(folder)]
+        taken = [int(name) for s in fs.listStatus(folder) if (name := s.getPath().getName()).isdigit()]
         n = max(taken, default=0) + 1
-        while not fs.createNewFile(self._path(f"claims/{n}")[0]):
+        while not self._created(f"claims/{n}"):
             n += 1
         # the highest number stays, so it is never given out again
         for old in sorted(taken)[:-64]:
             self._delete(f"claims/{old}")
         return n
 
+    def _created(self, name: str) -> bool:
+        """Make a file that must not be there yet; false if somebody else made it."""
+        p, fs = self._path(name)
+        if fs.getScheme() == "file":
+            # the local file system looks first and creates then, which two writers can do at once
+            try:
+                os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            return fs.createNewFile(p)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+
     def append(self, values: Mapping[str, object]) -> DataFrame:
         """Add a row at the end (missing columns null); returns it."""
         row_id, n = str(uuid.uuid4()), self._claim()
