@@ -25,7 +25,6 @@ from quern.plans.sizing import sized_join
 
 _TEXT = T.StringType()
 _CHANGES = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("name", "change", "old_name", "old_type", "type")]))
-_LINES = T.ArrayType(T.StructType([T.StructField("file_version", T.IntegerType()), T.StructField("name", _TEXT), T.StructField("column", _TEXT)]))
 
 #: Spellings of one type.
 TYPE_SPELLINGS = {"int64": "i64", "int32": "i32", "float64": "f64", "string": "str", "boolean": "bool"}
@@ -258,37 +257,36 @@ def schema_changes(fields: DataFrame, records: DataFrame) -> DataFrame:
     return flooded.unionByName(plain.where(F.col("change").isNotNull()))
 
 
-@F.pandas_udf(_LINES)
-def _lineage(steps: pd.Series) -> pd.Series:
-    """Column (last name of its chain of renames) of every field of every version, from one file's fields and renames."""
+def _last_names(clean: DataFrame, changes: DataFrame) -> DataFrame:
+    """path, name, file_version, type, column: each field of each version with the last name in its chain of renames.
 
-    def of(rows):
-        fields = sorted({(x["file_version"], x["name"]) for x in rows if x["old_name"] is None}, reverse=True)
-        renames = {(x["file_version"], x["old_name"]): x["name"] for x in rows if x["old_name"] is not None}
-        versions = sorted({v for v, _ in fields})
-        after = dict(zip(versions, versions[1:]))
-        column: dict[tuple[int, str], str] = {}
-        for v, n in fields:
-            nxt = after.get(v)
-            name = renames.get((nxt, n), n)
-            column[(v, n)] = column.get((nxt, name), n)
-        return [{"file_version": v, "name": n, "column": c} for (v, n), c in column.items()]
-
-    return steps.map(of)
+    A field under one name in versions without a gap is a life; a rename leads from one life to the
+    next. Chains of lives are followed by pointers that double their length each round, so no file's
+    history is ever brought together, and a chain of n renames takes about log n rounds.
+    """
+    w = Window.partitionBy("path", "name").orderBy("file_version")
+    placed = sized_join(clean.select("path", "file_version", "name", "type"), cut(transitions(clean)), ["path", "file_version"])
+    begins = F.when(F.lag("file_version").over(w).isNull() | ~F.lag("file_version").over(w).eqNullSafe(F.col("old_version")), F.col("file_version"))
+    lived = cut(placed.withColumn("__b", begins).withColumn("born", F.max("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__b"))
+    ends = lived.groupBy("path", "name", "born").agg(F.max(F.struct("file_version", "next_version")).alias("e")).select("path", "name", "born", F.col("e.next_version").alias("at"))
+    renames = changes.where(F.col("change") == "renamed").select("path", F.col("old_name").alias("name"), F.col("file_version").alias("at"), F.col("name").alias("to_name"), F.col("file_version").alias("to_born"))
+    links = cut(ends.join(renames, ["path", "name", "at"]).select("path", "name", "born", "to_name", "to_born"))
+    while True:
+        far = links.select("path", F.col("name").alias("to_name"), F.col("born").alias("to_born"), F.col("to_name").alias("__n"), F.col("to_born").alias("__b"))
+        longer = cut(links.join(far, ["path", "to_name", "to_born"], "left"))
+        if longer.where(F.col("__n").isNotNull()).isEmpty():
+            break
+        links = longer.select("path", "name", "born", F.coalesce("__n", "to_name").alias("to_name"), F.coalesce("__b", "to_born").alias("to_born"))
+    return sized_join(lived, links, ["path", "name", "born"], "left").select("path", "name", "file_version", "type", F.coalesce("to_name", "name").alias("column"))
 
 
 def column_map(fields: DataFrame, changes: DataFrame) -> DataFrame:
     """path, file_version, name, column, column_type: where each field of each version goes in the file's one table.
 
     `column` is the last name in the field's chain of renames, `column_type` the narrowest type that
-    holds every type the column ever had. A file's list is bounded by its versions times columns.
+    holds every type the column ever had.
     """
-    clean = clean_fields(fields)
-    facts = clean.select("path", F.struct("file_version", "name", F.lit(None).cast("string").alias("old_name")).alias("x")).union(
-        changes.where(F.col("change") == "renamed").select("path", F.struct("file_version", "name", "old_name"))
-    )
-    mapped = facts.groupBy("path").agg(F.collect_list("x").alias("g")).select("path", F.inline(_lineage("g")))
-    typed = mapped.join(clean.select("path", "file_version", "name", "type"), ["path", "file_version", "name"])
+    typed = _last_names(clean_fields(fields), changes)
     rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in WIDENING]), F.col("type")).cast("int"), F.lit(0))
     rank = F.when(rank == 0, len(WIDENING)).otherwise(rank)
     kinds = typed.groupBy("path", "column").agg(F.max(rank).alias("hi"), F.max(F.when(F.col("type") == "bool", 1).otherwise(0)).alias("b"))

@@ -200,6 +200,17 @@ def test_one_table(spark):
     assert got == {1: {"num": "3.0"}, 2: {"num": "3.5"}, 3: {"num": "3.5", "extra": "x"}}
 
 
+def test_long_chains_of_renames(spark):
+    n = 21
+    fields = [_field("f", v, f"n{v}", "i64") for v in range(n)] + [_field("f", v, "same", "i32" if v < 9 else "i64") for v in range(n) if v != 5]
+    records = [("f", v, k, json.dumps({f"n{v}": k * 7, "same": 1})) for v in range(n) for k in range(3)]
+    f, r = spark.createDataFrame(fields, FIELD), spark.createDataFrame(records, RECORD)
+    changes = drift.schema_changes(f, r)
+    assert changes.where("change = 'renamed'").count() == n - 1
+    got = {(x["file_version"], x["name"]): (x["column"], x["column_type"]) for x in drift.column_map(f, changes).collect()}
+    assert all(got[(v, f"n{v}")] == (f"n{n - 1}", "i64") for v in range(n)) and got[(3, "same")] == got[(20, "same")] == ("same", "i64")
+
+
 def test_drift_of_empty_tables(spark):
     f, r = spark.createDataFrame([], FIELD), spark.createDataFrame([], RECORD)
     assert drift.schema_changes(f, r).count() == 0
