@@ -311,8 +311,9 @@ def respelled_runs(runs: DataFrame, model: tuple) -> dict[str, str] | None:
             pairs = [(r, k) for r in b.column(0).to_pylist() if (k := spelling.spell(r)) != r]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["run", "spelled"])
 
-    rows = runs.select("run").mapInArrow(spell, "run string, spelled string").limit(MOST_RESPELLED + 1).collect()
-    return {r["run"]: r["spelled"] for r in rows} if len(rows) <= MOST_RESPELLED else None
+    # kept first: all runs are searched at once, and only as many as may be are then brought together
+    found = cut(runs.select("run").mapInArrow(spell, "run string, spelled string"))
+    return {r["run"]: r["spelled"] for r in found.collect()} if found.count() <= MOST_RESPELLED else None
 
 
 @functools.lru_cache(maxsize=2)
