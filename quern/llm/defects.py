@@ -253,52 +253,55 @@ _ALIKE = 0.8
 
 
 def _aligned(q: list[str], a: list[str]) -> int:
-    """Words that both hold in the same order (longest common subsequence), or fewer once they cannot reach _ALIKE.
+    """Words that both hold in the same order (longest common subsequence), exact at any length.
 
-    Diagonals are followed outwards from the corner: with d words dropped or added in all, d diagonals
-    are visited, and d is at most a fifth of the words of both, so texts that are alike are cheap and
-    others are given up early. Whole runs of equal words are passed over at once where the texts are long.
+    One bit a word of `q` in whole numbers: adding carries a match on to the next free place, so a word
+    of `a` costs a few additions instead of one comparison a word of `q`. Memory stays within what the
+    words of _BLOCK places take: blocks follow each other, with the carries of each word of `a` between them.
     """
     n, m = len(q), len(a)
-    most = int((1 - _ALIKE) * (n + m) + 1e-9)
     start = 0
     while start < n and start < m and q[start] == a[start]:
         start += 1
     end = 0
     while end < n - start and end < m - start and q[n - 1 - end] == a[m - 1 - end]:
         end += 1
-    if n + m > _WORDS_EXACT:
-        return start + end + _by_shingles(q[start : n - end], a[start : m - end])
     q, a = q[start : n - end], a[start : m - end]
-    n, m = len(q), len(a)
-    far = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            x = far.get(k + 1, -1) if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else far.get(k - 1, -1) + 1
-            y = x - k
-            while 0 <= x < n and 0 <= y < m and q[x] == a[y]:
-                x, y = x + 1, y + 1
-            far[k] = x
-            if x >= n and y >= m:
-                return start + end + (n + m - d) // 2
-    return 0
-
-
-#: Words of both texts up to which alignment is exact; longer ones are compared by runs of five words.
-_WORDS_EXACT, _SHINGLE = 2000, 5
-
-
-def _by_shingles(q: list[str], a: list[str]) -> int:
-    """Words of `a` that lie in a run of _SHINGLE words which `q` has as well, at most as often: linear in the words."""
-    known = Counter(tuple(q[i : i + _SHINGLE]) for i in range(len(q) - _SHINGLE + 1))
-    covered, upto = 0, 0
-    for i in range(len(a) - _SHINGLE + 1):
-        run = tuple(a[i : i + _SHINGLE])
-        if known[run] > 0:
-            known[run] -= 1
-            covered += i + _SHINGLE - max(upto, i)
-            upto = i + _SHINGLE
-    return min(covered, len(q))
+    both = set(q) & set(a)
+    q, a = [w for w in q if w in both], [w for w in a if w in both]
+    found, carries = start + end, bytearray(len(a))
+    for at in range(0, len(q), _BLOCK):
+        block = q[at : at + _BLOCK]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(block):
+            places.setdefault(w, []).append(i)
+        masks = {w: _bits(ps) for w, ps in places.items()}
+        width = len(block)
+        full = (1 << width) - 1
+        free = full
+        for j, w in enumerate(a):
+            hit = free & masks.get(w, 0)
+            carry = carries[j]
+            if hit or carry:
+                total = free + hit + carry
+                carries[j] = total >> width
+                free = (total | (free - hit)) & full
+        found += width - free.bit_count()
+    return found
+
+
+#: Words of the question that are aligned in one block; bounds memory, not the result.
+_BLOCK = 1 << 14
+
+
+def _bits(places: list[int]) -> int:
+    """The number with these bits set, `places` ascending."""
+    if len(places) == 1:
+        return 1 << places[0]
+    out = bytearray(places[-1] // 8 + 1)
+    for p in places:
+        out[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(out, "little")
 
 
 # --- truncation --------------------------------------------------------------------------------
